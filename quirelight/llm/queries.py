@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import distinctive, mixing, near_dup, spam, topn
+from quirelight.llm import distinctive, leakage, mixing, near_dup, scan_repair, sentences, spam, subjects, themes, topn
 from quirelight.session import table
 
 
@@ -16,14 +16,46 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select("record_kind", "record_key", "term")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.passage_sentences(table(spark, d, "build_fulltext_context"), table(spark, d, "evidence_items"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.versions_of_works(table(spark, d, "final_advancing_list"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return themes.theme_pairs(themes.themes(table(spark, d, "final_advancing_list")))
+
+
+def p4_themes(spark: SparkSession, d: str) -> DataFrame:
+    return themes.themes(table(spark, d, "final_advancing_list"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "final_advancing_list"), table(spark, d, "area_labels")).select("paper_id", "area")
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.area_shares(subjects.subject_areas(table(spark, d, "final_advancing_list"), table(spark, d, "area_labels")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.leading_papers(table(spark, d, "clustering_results")).select("run_id", "text_view", "cluster_method", "cluster", "paper_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.damaged_places(table(spark, d, "build_fulltext_context"), table(spark, d, "final_advancing_list"))
+
+
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repaired_texts(table(spark, d, "build_fulltext_context"), table(spark, d, "final_advancing_list"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 

@@ -28,10 +28,10 @@ _SCRIPTS = [("th", re.compile("[฀-๿]")), ("ja", re.compile("[぀-ヿ]")), ("
             ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]"))]
 # Commonest function words by which the Latin-script languages are told apart.
 _FUNCTION_WORDS = {
-    "en": "the of and to in that is with for were before",
-    "de": "der die das und ist ein eine mit den von für nicht als",
-    "fr": "le la les des une est et que dans pour du au",
-    "es": "el los las una es y que en para del con se",
+    "en": "the of and to in that is with for were before a",
+    "de": "der die das und ist ein eine mit den von für nicht als wie auch bei sich",
+    "fr": "le les des du et est dans pour nous sur au cette cet vaut mais la que",
+    "es": "el los las y es en para con del una como cómo más sobre sin la que",
 }
 _LATIN = {w: [k for k, ws in _FUNCTION_WORDS.items() if w in ws.split()] for ws in _FUNCTION_WORDS.values() for w in ws.split()}
 _WORD = re.compile(r"[^\W\d_]+")
