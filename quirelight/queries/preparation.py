@@ -26,7 +26,7 @@ def keyword_leaders(spark, d):
 
 def _count_sql(col: str, term: str) -> str:
     """Boundary occurrences in RE2, which has no lookaround: separators are doubled first."""
-    d = term.replace(" ", "  ")
+    d = "".join(ch if ch.isalnum() else ch * 2 for ch in term)
     return f"len(regexp_extract_all('  ' || regexp_replace({col}, '([^a-z0-9])', '\\1\\1', 'g') || '  ', '[^a-z0-9]{d}[^a-z0-9]'))"
 
 
