@@ -95,7 +95,7 @@ def content_runs(title: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     short = lambda w: (F.length(w) < 3) & ~w.isin("ai", "ux", "xr")
     marked = F.transform(words, lambda w: F.when(w.isin(*stop, "the", "a", "an", "of", "|", "") | short(w), F.lit("|")).otherwise(w))
     runs = F.split(F.array_join(marked, " "), r"(?:\s*\|\s*)+")
-    return F.filter(F.transform(runs, F.trim), lambda r: r != "")
+    return F.filter(F.transform(runs, lambda x: F.trim(x)), lambda r: r != "")
 
 
 def rake(titles: DataFrame, group: str, title: str, most: int = 12) -> DataFrame:

@@ -1 +1,67 @@
-QUERIES = {}
+"""Sources, sinks and reports: S- and O-operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quirelight.operators import relational as R
+from quirelight.queries.base import KEYWORDS, PAPERS, clusters, papers
+from quirelight.session import scratch_path, table
+from quirelight.sources import readers, writers
+
+
+def csv_round_trip(s, d):
+    """The prepared papers written as CSV and read again."""
+    p = papers(s, d).select("paper_id", "title", "abstract", "keyword", F.coalesce("year", F.lit("")).alias("year"))
+    path = scratch_path(s, "csv")
+    writers.write_csv(p, path)
+    return readers.read_csv(s, path, p.schema)
+
+
+def run_metadata(s, d):
+    m = writers.run_metadata(R.paper_keywords(papers(s, d)), ["kmeans", "hdbscan"], "overall", "tfidf-svd", 10)
+    return m.select("paper_count", "keyword_count", "text_view", "embedding", "min_papers_to_cluster", F.array_join("methods", "|").alias("methods"),
+                    F.array_join(F.transform(F.map_entries("keyword_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; ").alias("counts"))
+
+
+def _rows(s, d):
+    c = clusters(s, d).where("cluster >= 0 and focus_keyword is not null")
+    return c.groupBy(F.col("focus_keyword").alias("keyword"), "cluster_method", "cluster", "paper_id").agg(F.min("title").alias("title"), F.min(F.when(F.col("representative_rank") >= 1, F.col("representative_rank"))).alias("rank"), F.max("cluster_theme_terms").alias("theme"))
+
+
+def cluster_report(s, d):
+    return writers.cluster_lines(_rows(s, d))
+
+
+_REP = """WITH c AS (SELECT focus_keyword AS keyword, cluster_method, CAST(cluster AS INTEGER) AS cluster, paper_id, min(title) AS title, CAST(min(CASE WHEN representative_rank >= 1 THEN representative_rank END) AS INTEGER) AS rank, max(cluster_theme_terms) AS theme
+FROM clustering_results WHERE cluster >= 0 AND focus_keyword IS NOT NULL GROUP BY 1, 2, 3, 4),
+g AS (SELECT keyword, cluster_method, cluster, count(DISTINCT paper_id) AS n, max(theme) AS theme, (list(title ORDER BY rank, paper_id) FILTER (WHERE rank BETWEEN 1 AND 3))[1:3] AS lead FROM c GROUP BY 1, 2, 3)
+SELECT keyword, cluster_method, cluster, '- **' || keyword || ' / ' || cluster_method || ' / ' || cluster || '** (' || n || ' papers): ' || coalesce(theme, '') || CASE WHEN len(lead) > 0 THEN '. Read first: ' || array_to_string(lead, '; ') ELSE '' END AS line FROM g"""
+
+
+def embedded_payload(s, d):
+    """A page per event with its properties embedded, and the properties read back from it."""
+    e = table(s, d, "events").select("event_id", "props")
+    page = F.concat(F.lit('<html><script type="application/json" id="payload">'), F.col("props"), F.lit("</script></html>"))
+    keys = F.json_object_keys("props")
+    back = F.regexp_extract(page, r'(?s)<script[^>]*id="payload"[^>]*>(.*?)</script>', 1)
+    return e.select("event_id", F.array_join(F.array_sort(keys), ",").alias("keys"), (back == F.col("props")).alias("same"))
+
+
+def explorer(s, d):
+    """The explorer payload of every run, read back: papers and clusters it carries."""
+    c = clusters(s, d).where("cluster is not null").groupBy("run_id", "cluster", "paper_id").agg(F.min("title").alias("title"), F.min("umap_x").alias("x"), F.min("umap_y").alias("y"))
+    k = c.groupBy("run_id", "cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
+    p = writers.explorer_payload("Explorer", c, k, F.col("run_id"))
+    x = F.from_json("payload", "title string, papers array<struct<paper_id string, title string, cluster int, x double, y double>>, clusters array<struct<cluster int, label string, n bigint>>")
+    return p.select("part", x.alias("v")).select(F.col("part").alias("run_id"), F.size("v.papers").alias("papers"), F.size("v.clusters").alias("clusters"), F.aggregate("v.clusters", F.lit(0).cast("bigint"), lambda a, b: a + b["n"]).alias("total"))
+
+
+QUERIES = {
+    "csv_round_trip": (csv_round_trip, f"WITH {PAPERS} SELECT paper_id, title, abstract, keyword, coalesce(year, '') AS year FROM papers"),
+    "run_metadata": (run_metadata, f"""WITH {PAPERS}, {KEYWORDS}, n AS (SELECT keyword, count(DISTINCT paper_id) AS n FROM keywords GROUP BY 1) SELECT (SELECT count(DISTINCT paper_id) FROM keywords) AS paper_count, count(*) AS keyword_count, 'overall' AS text_view, 'tfidf-svd' AS embedding,
+10 AS min_papers_to_cluster, 'kmeans|hdbscan' AS methods, string_agg(keyword || '=' || n, '; ' ORDER BY keyword) AS counts FROM n"""),
+    "cluster_report": (cluster_report, _REP),
+    "embedded_payload": (embedded_payload, "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, true AS same FROM events"),
+    "explorer_payload": (explorer, """WITH c AS (SELECT run_id, cluster, paper_id FROM clustering_results WHERE cluster IS NOT NULL GROUP BY ALL) SELECT run_id, CAST(count(*) AS INTEGER) AS papers, CAST(count(DISTINCT cluster) AS INTEGER) AS clusters, count(*) AS total FROM c GROUP BY 1"""),
+}

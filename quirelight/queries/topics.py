@@ -65,12 +65,12 @@ def dominant(s, d):
 def label_terms(s, d):
     """Theme-term lists of the clusters, cleaned to at most four terms."""
     c = clusters(s, d).where("cluster_theme_terms is not null and cluster >= 0").select("cluster_theme_terms").distinct()
-    return c.select("cluster_theme_terms", F.array_join(T.clean_labels(F.transform(F.split("cluster_theme_terms", ","), F.trim), 4), ", ").alias("label"))
+    return c.select("cluster_theme_terms", F.array_join(T.clean_labels(F.transform(F.split("cluster_theme_terms", ","), lambda x: F.trim(x)), 4), ", ").alias("label"))
 
 
 def evidence_terms(s, d):
     c = clusters(s, d).where("cluster >= 0").select("cluster_theme_terms", "lda_topic_words").distinct()
-    c = c.select("cluster_theme_terms", "lda_topic_words", F.transform(F.split("cluster_theme_terms", ","), F.trim).alias("a"), F.split("lda_topic_words", " ").alias("b"))
+    c = c.select("cluster_theme_terms", "lda_topic_words", F.transform(F.split("cluster_theme_terms", ","), lambda x: F.trim(x)).alias("a"), F.split("lda_topic_words", " ").alias("b"))
     return c.select("cluster_theme_terms", "lda_topic_words", F.array_join(T.evidence_terms(c, ["a", "b"]), ", ").alias("terms"))
 
 
