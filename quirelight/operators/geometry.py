@@ -27,7 +27,7 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
 def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """(cluster, ``centroid`` of unit length, ``mean`` of the unit vectors, ``n``); noise (-1)
     and null clusters have none."""
-    u = df.where(F.col(cluster).isNotNull() & (F.col(cluster) != -1)).select(cluster, unit(F.col(vector)).alias("u"))
+    u = df.where(F.col(cluster).isNotNull() & (F.col(cluster).cast("string") != "-1")).select(cluster, unit(F.col(vector)).alias("u"))
     return mean_by_group(u, cluster, "u").withColumn("centroid", unit(F.col("mean")))
 
 
@@ -48,7 +48,7 @@ def with_geometry(df: DataFrame, key: str, cluster: str, vector: str) -> DataFra
     d = j.select(key, cluster, dist.alias("distance_to_centroid"), mean.alias("_m"))
     rank = F.row_number().over(W.partitionBy(cluster).orderBy(F.round("distance_to_centroid", 9), key))
     medoid = F.row_number().over(W.partitionBy(cluster).orderBy(F.round("_m", 9), key))
-    noise = F.col(cluster) == -1
+    noise = F.col(cluster).cast("string") == "-1"
     r = d.withColumns({"representative_rank": F.when(noise, -1).otherwise(rank), "medoid_rank": F.when(noise, -1).otherwise(medoid)}).drop("_m")
     return r.withColumn("is_representative_top3", F.col("representative_rank").between(1, 3))
 
@@ -73,7 +73,7 @@ def silhouettes(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame
     if k * 128 > BROADCAST_CELLS:
         raise ValueError(f"{k} clusters: compare silhouettes of fewer clusters")
     table = c.agg(F.collect_list(F.struct("_c", "mean", "n")).alias("_t")).withColumn("_j", F.lit(1))
-    rows = df.where(F.col(cluster).isNotNull() & (F.col(cluster) != -1)).select(key, cluster, unit(F.col(vector)).alias("u"), F.lit(1).alias("_j")).join(F.broadcast(table), "_j")
+    rows = df.where(F.col(cluster).isNotNull() & (F.col(cluster).cast("string") != "-1")).select(key, cluster, unit(F.col(vector)).alias("u"), F.lit(1).alias("_j")).join(F.broadcast(table), "_j")
     own = F.filter("_t", lambda t: t["_c"] == F.col(cluster))[0]
     n = own["n"]
     a = (n * (1 - dot(F.col("u"), own["mean"])) - (1 - dot(F.col("u"), F.col("u")))) / (n - 1)
@@ -101,7 +101,7 @@ def near_ties(table: DataFrame, absolute: float = 0.002, relative: float = 0.02)
 def nearest_cluster(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     """(key, ``cluster``, ``peripheral``): noise moves to the cluster of the nearest mean by
     Euclidean distance, equal distances to the least cluster; without clusters all stays."""
-    c = df.where(F.col(cluster) != -1).select(cluster, F.col(vector).cast("array<double>").alias("v"))
+    c = df.where(F.col(cluster).cast("string") != "-1").select(cluster, F.col(vector).cast("array<double>").alias("v"))
     means = mean_by_group(c, cluster, "v")
     table = means.agg(F.collect_list(F.struct(F.col("mean"), F.col(cluster).alias("c"))).alias("_t")).withColumn("_j", F.lit(1))
     rows = df.where(F.col(cluster).isNotNull()).select(key, F.col(cluster).alias("_c"), F.col(vector).cast("array<double>").alias("v"), F.lit(1).alias("_j")).join(F.broadcast(table), "_j", "left")

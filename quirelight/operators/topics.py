@@ -23,7 +23,8 @@ def ctfidf(docs: DataFrame, cluster: str, key: str, text: str, *, most: int = 6,
     and term, so a cluster with a third of all papers is no hot key.
     """
     known = docs.where(F.col(cluster).isNotNull())
-    real = known.where(F.col(cluster) != -1)
+    noisy = F.col(cluster).cast("string") == "-1"
+    real = known.where(~noisy)
     per = token_counts(real.select(F.struct(cluster, key).alias("_k"), text), "_k", text).groupBy(F.col(f"_k.{cluster}").alias(cluster), "term").agg(F.sum("n").alias("n"))
     per = materialise(per, "cluster-terms")
     vocab = vocabulary(per, 1, limit)
@@ -34,7 +35,7 @@ def ctfidf(docs: DataFrame, cluster: str, key: str, text: str, *, most: int = 6,
     place = F.row_number().over(W.partitionBy(cluster).orderBy(F.desc(F.round("w", 12)), "term"))
     top = scored.withColumn("place", place).where(F.col("place") <= most)
     terms = top.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"]), ", ").alias("terms"))
-    return terms.unionByName(known.where(F.col(cluster) == -1).select(cluster, F.lit(noise).alias("terms")).distinct())
+    return terms.unionByName(known.where(noisy).select(cluster, F.lit(noise).alias("terms")).distinct())
 
 
 def lda_topics(docs: DataFrame, key: str, text: str, topics: int = 6, *, words: int = 6, seed: int = 42, rounds: int = 20) -> DataFrame:
