@@ -100,6 +100,19 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY run_id, text_view, cluster_
 SELECT run_id, text_view, cluster_method, CAST(cluster AS INTEGER) AS cluster, paper_id FROM placed WHERE p <= 3
 """
 
+_P3_SQL = """
+WITH paper AS (SELECT paper_id, arg_min({'t': title, 'a': abstract, 'd': doi}, input_row) AS r FROM final_advancing_list WHERE paper_id IS NOT NULL GROUP BY paper_id),
+one AS (
+  SELECT paper_id, regexp_extract_all(lower(r.a), '[\\p{L}\\p{N}]+') AS w, coalesce(lower(trim(r.a)) IN ('', 'nan'), true) AS blank, array_to_string(regexp_extract_all(lower(r.t), '[\\p{L}\\p{N}]+'), ' ') AS t,
+         CASE WHEN lower(trim(r.d)) IN ('', 'nan') THEN NULL ELSE nullif(regexp_replace(lower(trim(r.d)), '^(?:https?://[^/]*/|doi\\s*:?\\s*)+', ''), '') END AS d FROM paper),
+sh AS (SELECT DISTINCT paper_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM one WHERE NOT blank),
+n AS (SELECT paper_id, count(*) AS n FROM sh GROUP BY 1),
+c AS (SELECT a.paper_id AS x, b.paper_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.paper_id < b.paper_id GROUP BY 1, 2)
+SELECT x AS paper_id_a, y AS paper_id_b FROM c JOIN n p ON p.paper_id = x JOIN n q ON q.paper_id = y WHERE 2 * k >= p.n + q.n - k
+UNION
+SELECT least(a.paper_id, b.paper_id), greatest(a.paper_id, b.paper_id) FROM one a JOIN one b ON a.t = b.t AND a.d = b.d AND a.paper_id <> b.paper_id WHERE a.blank AND a.t <> ''
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1_SQL, "p6_found": _P6_SQL}
+    return {"p1_found": _P1_SQL, "p3_found": _P3_SQL, "p6_found": _P6_SQL}

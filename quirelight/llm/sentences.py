@@ -182,8 +182,10 @@ def _after_close(text: str, start: int, end: int) -> bool:
 
 def events(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     """(position after the event, class) of the events that start in [lo, hi)."""
-    for m in _EVENT.finditer(text, lo, len(text)):
+    for m in _EVENT.finditer(text, max(0, lo - MARGIN // 2)):
         a, b = m.span()
+        if a < lo:
+            continue  # belongs to the chunk before, even where it reaches into this one
         if a >= hi:
             break
         kind = m.lastgroup
