@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelight.operators.vectors import BROADCAST_CELLS, dot, mean_by_group, unit
+from quirelight.session import materialise
 
 
 def _small(df: DataFrame, cells: int) -> DataFrame:
@@ -18,6 +19,28 @@ def _small(df: DataFrame, cells: int) -> DataFrame:
     return F.broadcast(df) if cells <= BROADCAST_CELLS else df
 
 
+#: Rows of a group that one task may sort for their ranks.
+RANK_LIMIT = 2_000_000
+
+
+def ranks(df: DataFrame, group: str, orders: dict[str, list], largest: int) -> DataFrame:
+    """Adds, for each name of ``orders``, the 1-based position within the group.
+
+    Groups up to ``RANK_LIMIT`` rows are ranked by a window. A larger one is spread by range
+    over many tasks: rows are numbered within their range and the counts of the ranges
+    before are added, so no task sorts a whole group.
+    """
+    if largest <= RANK_LIMIT:
+        return df.withColumns({k: F.row_number().over(W.partitionBy(group).orderBy(*o)) for k, o in orders.items()})
+    for k, o in orders.items():
+        parts = materialise(df.repartitionByRange(F.col(group), *[F.col(c) if isinstance(c, str) else c for c in o]).withColumn("_p", F.spark_partition_id()), "ranges")
+        n = parts.groupBy("_p", group).agg(F.count(F.lit(1)).alias("_n"))
+        before = n.select("_p", group, (F.sum("_n").over(W.partitionBy(group).orderBy("_p")) - F.col("_n")).alias("_b"))
+        own = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p", group).orderBy(*o)))
+        df = own.join(before, ["_p", group]).withColumn(k, (F.col("_r") + F.col("_b")).cast("int")).drop("_p", "_r", "_b")
+    return df
+
+
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
     n = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(F.lit(0)))
@@ -41,16 +64,18 @@ def with_geometry(df: DataFrame, key: str, cluster: str, vector: str) -> DataFra
     """
     c = centroids(df, cluster, vector)
     known = df.where(F.col(cluster).isNotNull())
-    cells = c.count() * 128
+    held = c.agg(F.count(F.lit(1)), F.max("n")).first()
+    cells = held[0] * 128
     j = known.select(key, cluster, unit(F.col(vector)).alias("u")).join(_small(c, cells), cluster, "left")
     dist = F.when(F.col("centroid").isNotNull(), 1 - dot(F.col("u"), F.col("centroid")))
     mean = F.when(F.col("mean").isNotNull(), 1 - dot(F.col("u"), F.col("mean")))
-    d = j.select(key, cluster, dist.alias("distance_to_centroid"), mean.alias("_m"))
-    rank = F.row_number().over(W.partitionBy(cluster).orderBy(F.round("distance_to_centroid", 9), key))
-    medoid = F.row_number().over(W.partitionBy(cluster).orderBy(F.round("_m", 9), key))
+    d = j.select(key, cluster, dist.alias("distance_to_centroid"), F.round(dist, 9).alias("_d"), F.round(mean, 9).alias("_m"))
     noise = F.col(cluster).cast("string") == "-1"
-    r = d.withColumns({"representative_rank": F.when(noise, -1).otherwise(rank), "medoid_rank": F.when(noise, -1).otherwise(medoid)}).drop("_m")
-    return r.withColumn("is_representative_top3", F.col("representative_rank").between(1, 3))
+    # noise has no ranks and is not sorted with the rest
+    r = ranks(d.where(~noise), cluster, {"representative_rank": ["_d", key], "medoid_rank": ["_m", key]}, held[1] or 0)
+    out = [key, cluster, "distance_to_centroid", "representative_rank", "medoid_rank"]
+    none = d.where(noise).withColumns({"representative_rank": F.lit(-1), "medoid_rank": F.lit(-1)})
+    return r.select(*out).unionByName(none.select(*out)).withColumn("is_representative_top3", F.col("representative_rank").between(1, 3))
 
 
 def top_representatives(df: DataFrame, cluster: str, key: str, n: int) -> DataFrame:

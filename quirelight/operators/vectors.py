@@ -132,10 +132,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def mean_by_group(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, ``mean``, ``n``): mean vector of each group, in element order. The partial
-    aggregate per group and element makes a group with a third of all rows harmless."""
-    e = df.select(group, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    return e.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"), F.max("n").alias("n"))
+    """(group, ``mean``, ``n``): mean vector of each group. One vector per group and task is
+    shuffled (a partial aggregate), so a group with a third of all rows is harmless. Null
+    vectors are left out."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = df.where(F.col(vector).isNotNull()).select(group, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    m = v.groupBy(group).agg(Summarizer.metrics("mean", "count").summary(F.col("_v")).alias("_s"))
+    return m.select(group, vector_to_array("_s.mean").alias("mean"), F.col("_s.count").alias("n"))
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:

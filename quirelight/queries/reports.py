@@ -52,9 +52,10 @@ def explorer(s, d):
     """The explorer payload of every run, read back: papers and clusters it carries."""
     c = clusters(s, d).where("cluster is not null").groupBy("run_id", "cluster", "paper_id").agg(F.min("title").alias("title"), F.min("umap_x").alias("x"), F.min("umap_y").alias("y"))
     k = c.groupBy("run_id", "cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
-    p = writers.explorer_payload("Explorer", c, k, F.col("run_id"))
+    p = writers.explorer_payload("Explorer", c, k, "run_id", 50)
     x = F.from_json("payload", "title string, papers array<struct<paper_id string, title string, cluster int, x double, y double>>, clusters array<struct<cluster int, label string, n bigint>>")
-    return p.select("part", x.alias("v")).select(F.col("part").alias("run_id"), F.size("v.papers").alias("papers"), F.size("v.clusters").alias("clusters"), F.aggregate("v.clusters", F.lit(0).cast("bigint"), lambda a, b: a + b["n"]).alias("total"))
+    v = p.select("run_id", x.alias("v")).select("run_id", F.size("v.papers").alias("p"), F.size("v.clusters").alias("c"), F.aggregate("v.clusters", F.lit(0).cast("bigint"), lambda a, b: a + b["n"]).alias("t"))
+    return v.groupBy("run_id").agg(F.sum("p").alias("papers"), F.max("c").alias("clusters"), F.max("t").alias("total"))
 
 
 QUERIES = {
@@ -63,5 +64,5 @@ QUERIES = {
 10 AS min_papers_to_cluster, 'kmeans|hdbscan' AS methods, string_agg(keyword || '=' || n, '; ' ORDER BY keyword) AS counts FROM n"""),
     "cluster_report": (cluster_report, _REP),
     "embedded_payload": (embedded_payload, "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, true AS same FROM events"),
-    "explorer_payload": (explorer, """WITH c AS (SELECT run_id, cluster, paper_id FROM clustering_results WHERE cluster IS NOT NULL GROUP BY ALL) SELECT run_id, CAST(count(*) AS INTEGER) AS papers, CAST(count(DISTINCT cluster) AS INTEGER) AS clusters, count(*) AS total FROM c GROUP BY 1"""),
+    "explorer_payload": (explorer, """WITH c AS (SELECT run_id, cluster, paper_id FROM clustering_results WHERE cluster IS NOT NULL GROUP BY ALL) SELECT run_id, count(*) AS papers, CAST(count(DISTINCT cluster) AS INTEGER) AS clusters, count(*) AS total FROM c GROUP BY 1"""),
 }

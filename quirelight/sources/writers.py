@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,14 +48,15 @@ def markdown(lines: DataFrame, title: str, order: list[str]) -> str:
     return "\n".join([f"# {title}", "", *[r["line"] for r in lines.orderBy(*order).toLocalIterator()], ""])
 
 
-def explorer_payload(title: str, papers: DataFrame, clusters: DataFrame, parts: Column) -> DataFrame:
-    """(``part, payload``): the explorer's JSON in parts by a bounded key (a keyword, a view),
-    so that no task builds one text of all papers."""
-    p = papers.withColumn("part", parts)
-    c = clusters.withColumn("part", parts)
-    body = p.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("paper_id", "title", "cluster", "x", "y"))).alias("papers"))
-    head = c.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("cluster", "label", "n"))).alias("clusters"))
-    return body.join(head, "part", "left").select("part", F.to_json(F.struct(F.lit(title).alias("title"), "papers", "clusters")).alias("payload"))
+def explorer_payload(title: str, papers: DataFrame, clusters: DataFrame, part: str, most: int = 5000) -> DataFrame:
+    """(part, ``bucket, payload``): the explorer's JSON by a part of the data (a keyword, a
+    run) in buckets of about ``most`` papers, so that no task builds one text of a large
+    part. Every bucket carries the part's cluster list."""
+    n = papers.groupBy(part).agg(F.ceil(F.count(F.lit(1)) / most).alias("_b"))
+    p = papers.join(n, part).withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.col("_b")).cast("int"))
+    body = p.groupBy(part, "bucket").agg(F.array_sort(F.collect_list(F.struct("paper_id", "title", "cluster", "x", "y"))).alias("papers"))
+    head = clusters.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("cluster", "label", "n"))).alias("clusters"))
+    return body.join(head, part, "left").select(part, "bucket", F.to_json(F.struct(F.lit(title).alias("title"), "papers", "clusters")).alias("payload"))
 
 
 def page(payload: str, title: str) -> str:

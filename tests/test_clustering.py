@@ -105,3 +105,9 @@ def test_empty_inputs(spark, blobs):
     assert G.silhouettes(none, "id", "label", "v").count() == 0
     assert V.nearest(none, blobs, "id", "v", 2).count() == 0
     assert K.density_clusters(none, "g", "id", "v", "dbscan", eps=0.1).count() == 0
+
+
+def test_ranks_by_range_equal_ranks_by_window(spark, blobs, monkeypatch):
+    want = sorted(map(tuple, G.with_geometry(blobs, "id", "label", "v").select("id", "representative_rank", "medoid_rank").collect()))
+    monkeypatch.setattr(G, "RANK_LIMIT", 5)
+    assert sorted(map(tuple, G.with_geometry(blobs, "id", "label", "v").select("id", "representative_rank", "medoid_rank").collect())) == want
