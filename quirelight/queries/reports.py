@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirelight.functions import display as D
+from quirelight.functions import text as X
+from quirelight.functions.fuzzy import same_title
+from quirelight.operators import coding as Y
 from quirelight.operators import relational as R
 from quirelight.queries.base import KEYWORDS, PAPERS, clusters, papers
+from quirelight.queries.coding import _CON, LEXICON, real
 from quirelight.session import scratch_path, table
 from quirelight.sources import readers, writers
 
@@ -58,7 +63,44 @@ def explorer(s, d):
     return v.groupBy("run_id").agg(F.sum("p").alias("papers"), F.max("c").alias("clusters"), F.max("t").alias("total"))
 
 
+def matching_titles(s, d):
+    """Papers of one DOI whose titles count as the same."""
+    p = papers(s, d).select("paper_id", "title", X.doi(F.col("doi")).alias("k")).where("k != ''")
+    a, b = p.alias("a"), p.alias("b")
+    j = a.join(b, "k").where("a.paper_id < b.paper_id")
+    return j.where(same_title(F.col("a.title"), F.col("b.title"))).select(F.col("a.paper_id").alias("paper_id_a"), F.col("b.paper_id").alias("paper_id_b"))
+
+
+def display_titles(s, d):
+    return papers(s, d).where("title != ''").select("paper_id", D.title_case(F.col("title")).alias("shown"))
+
+
+_SMALL = ", ".join(f"'{w}'" for w in D.SMALL)
+_FIX = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.SPELLINGS.items())
+_SHOW = f"""WITH {PAPERS} SELECT paper_id, array_to_string(list_transform(string_split(lower(title), ' '), lambda w, i: CASE w {_FIX} ELSE CASE WHEN i > 1 AND w IN ({_SMALL}) THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END END), ' ') AS shown FROM papers WHERE title <> ''"""
+
+
+def contribution_texts(s, d):
+    c = Y.contribution(real(s, d), "g", "paper_id", "low")
+    return c.select("g", D.definition(F.col("contribution")).alias("definition"), D.support_text(F.col("support"), F.col("n")).alias("support_text"))
+
+
+_DEF = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.DEFINITIONS.items())
+
+
+def claims(s, d):
+    """A claim sentence per paper of the real clusters: form and role by their lexicons."""
+    top = Y.group_scores(real(s, d), ["g", "paper_id"], "low", LEXICON, 1)
+    return top.select("g", "paper_id", D.claim(F.lit("design paper"), F.lit("offers a"), F.col("label")).alias("claim"))
+
+
 QUERIES = {
+    "matching_titles": (matching_titles, None),
+    "display_titles": (display_titles, _SHOW),
+    "contribution_texts": (contribution_texts, f"SELECT g, CASE contribution {_DEF} END AS definition, support || ' of ' || n || CASE WHEN n = 1 THEN ' paper' ELSE ' papers' END AS support_text FROM (WITH {_CON} SELECT * FROM co)"),
+    "cluster_claims": (claims, None),
+    "first_domain": (lambda s, d: clusters(s, d).select("run_id", "paper_id", D.first_value("application_domains", "distinguishing_evidence_terms", "cluster_theme_terms").alias("first")).distinct(),
+                     "SELECT DISTINCT run_id, paper_id, coalesce(nullif(trim(string_split(coalesce(application_domains, ''), ',')[1]), ''), nullif(trim(string_split(coalesce(distinguishing_evidence_terms, ''), ',')[1]), ''), nullif(trim(string_split(coalesce(cluster_theme_terms, ''), ',')[1]), ''), '') AS first FROM clustering_results"),
     "csv_round_trip": (csv_round_trip, f"WITH {PAPERS} SELECT paper_id, title, abstract, keyword, coalesce(year, '') AS year FROM papers"),
     "run_metadata": (run_metadata, f"""WITH {PAPERS}, {KEYWORDS}, n AS (SELECT keyword, count(DISTINCT paper_id) AS n FROM keywords GROUP BY 1) SELECT (SELECT count(DISTINCT paper_id) FROM keywords) AS paper_count, count(*) AS keyword_count, 'overall' AS text_view, 'tfidf-svd' AS embedding,
 10 AS min_papers_to_cluster, 'kmeans|hdbscan' AS methods, string_agg(keyword || '=' || n, '; ' ORDER BY keyword) AS counts FROM n"""),
