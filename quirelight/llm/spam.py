@@ -16,9 +16,13 @@ from quirelight.session import materialise
 #: Characters a block holds at most; every block of a text is measured.
 BLOCK = 4096
 #: A text is extremely redundant below this share of the ratio usual at its length and language.
-REDUNDANT = 0.9
+REDUNDANT = 0.905
+#: Below this length class (some 90 bytes) compression says nothing of redundancy.
+SHORTEST = 13
 #: Share of a text's words that may stand in sentences before it counts as prose.
 PROSE = 0.5
+#: The same for a text with hardly a sentence.
+BARE, BARE_PROSE = 0.96, 0.4
 #: Repetition so extreme that short exclamations around a keyword do not count as prose.
 EXTREME, EXTREME_PROSE = 0.6, 0.8
 #: Length classes are powers of this many bytes.
@@ -35,7 +39,9 @@ _FUNCTION_WORDS = {
 }
 _LATIN = {w: [k for k, ws in _FUNCTION_WORDS.items() if w in ws.split()] for ws in _FUNCTION_WORDS.values() for w in ws.split()}
 _WORD = re.compile(r"[^\W\d_]+")
-_UNIT = re.compile(r"https?://\S+|<[^>]*>|[^\W\d_]+")
+# words with the vowel signs and marks of Arabic and Indic scripts
+_UNIT = re.compile(r"https?://\S+|<[^>]*>|(?:[^\W\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0dff])+")
+_STOPPED = re.compile(r"[.!?।؟][\"'”»)\]]*$")
 _ENDS = re.compile(r"(?<=[.!?])[\"'”»)\]]*\s+|(?<=[。！？।؟])[」』”]?\s*|\n+")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 
@@ -68,23 +74,25 @@ def prose_share(text: str, language: str) -> float:
     """Share of the words (characters in scripts without spaces) that stand in sentences.
 
     A sentence ends in sentence punctuation and has at least four words of which most
-    differ; in Thai, which has none, it is a run of twenty letters without a space.
+    differ; one that was there before does not count again. In Thai, which has none, it is a run of twenty letters without a space.
     """
     if language == "th":
         runs = [len(x) for x in re.split(r"[\s,|#\-–;/*]+", text) if x]
         return sum(r for r in runs if r >= 20) / max(1, sum(runs))
     inside = total = 0
+    seen: set[str] = set()
     for part in _ENDS.split(text):
         part = part.strip()
         if not part:
             continue
         if language in ("zh", "ja"):
             n = len(part)
-            good = part[-1] in "。！？」』”" and n >= 8 and len(re.split(r"[、，,|#\s\-]+", part)) <= 1 + n / 6
+            good = part[-1] in "。！？」』”" and n >= 8 and part not in seen and len(re.split(r"[、，,|#\s\-]+", part)) <= 1 + n / 6
         else:
             units = [u.lower() for u in _UNIT.findall(part)]
             n = len(units)
-            good = part[-1] in ".!?।؟\"”»)'" and n >= 4 and len(set(units)) >= 0.6 * n and not any(u.startswith(("http", "<")) for u in units[: n // 2 + 1])
+            good = _STOPPED.search(part) is not None and n >= 4 and part not in seen and len(set(units)) >= 0.6 * n and not any(u.startswith(("http", "<")) for u in units[: n // 2 + 1])
+        seen.add(part)
         total += n
         inside += n * good
     return inside / total if total else 0.0
@@ -124,6 +132,7 @@ def redundancy(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", *, redundant: float = REDUNDANT, prose: float = PROSE) -> DataFrame:
     """Rows of :func:`redundancy` that are redundant and mostly not sentences, or repeat
-    one phrase so often that only short exclamations surround it."""
+    one phrase so often that only short exclamations surround it. Texts too short to
+    compress are never flagged."""
     r, p = F.col("relative"), F.col("prose")
-    return redundancy(docs, key, text).where(((r < redundant) & (p < prose)) | ((r < EXTREME) & (p < EXTREME_PROSE)))
+    return redundancy(docs, key, text).where((F.col("length_class") >= SHORTEST) & (((r < redundant) & (p < prose)) | ((r < BARE) & (p < BARE_PROSE)) | ((r < EXTREME) & (p < EXTREME_PROSE))))
