@@ -275,6 +275,7 @@ def subject_areas(papers: DataFrame, labels: DataFrame) -> DataFrame:
 
 def area_shares(assigned: DataFrame) -> DataFrame:
     """``area, papers, share``: how much of the collection each area has."""
+    assigned = materialise(assigned.select("paper_id", "area"), "areas")
     per = assigned.groupBy("area").agg(F.countDistinct("paper_id").alias("papers"))
     total = assigned.select("paper_id").distinct().count()
     return per.select("area", "papers", (F.col("papers") / F.lit(float(max(total, 1)))).alias("share"))
