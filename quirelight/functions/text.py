@@ -133,20 +133,27 @@ def boundary_count(haystack: Column, term: str) -> Column:
     return F.regexp_count(haystack, F.lit(f"(?<![a-z0-9]){esc}(?![a-z0-9])"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def relevance(haystack: Column, vocabulary: tuple[str, ...]) -> Column:
     """Occurrences of the terms in the squeezed, lower-cased text; several words weigh 4."""
-    low = phrase(haystack)
-    total = F.lit(0)
-    for t in dict.fromkeys(vocabulary):
-        total = total + boundary_count(low, t) * (4 if " " in t else 1)
-    return total
+
+    def total(low: Column) -> Column:
+        out = F.lit(0)
+        for t in dict.fromkeys(vocabulary):
+            out = out + boundary_count(low, t) * (4 if " " in t else 1)
+        return out
+
+    return bound(phrase(haystack), total)
 
 
 def present_terms(haystack: Column, vocabulary: tuple[str, ...], most: int = 10) -> Column:
     """The terms that occur, in the order of the vocabulary, at most ``most``."""
-    low = phrase(haystack)
-    hits = F.array(*[F.when(boundary_count(low, t) > 0, F.lit(t)) for t in vocabulary])
-    return F.slice(F.array_compact(hits), 1, most)
+    hits = bound(phrase(haystack), lambda low: F.array_compact(F.array(*[F.when(boundary_count(low, t) > 0, F.lit(t)) for t in vocabulary])))
+    return F.slice(hits, 1, most)
 
 
 def root(tok: Column) -> Column:

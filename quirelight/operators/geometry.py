@@ -6,7 +6,11 @@ mean, so medoids and silhouettes need one sum vector per cluster instead of all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,26 +88,43 @@ def top_representatives(df: DataFrame, cluster: str, key: str, n: int) -> DataFr
     return df.where(F.col("representative_rank") >= 1).withColumn("place", place).where(F.col("place") <= n)
 
 
+def _means(c: DataFrame, cluster: str) -> tuple[list, np.ndarray, np.ndarray]:
+    """The clusters' means on the driver: one row per cluster, checked against the limit."""
+    rows = c.select(F.col(cluster).alias("_c"), "mean", "n").orderBy("_c").limit(BROADCAST_CELLS // 64 + 1).collect()
+    if rows and len(rows) * len(rows[0]["mean"]) > BROADCAST_CELLS:
+        raise ValueError("too many clusters to compare every row with all of them")
+    return [r["_c"] for r in rows], np.array([r["mean"] for r in rows]), np.array([r["n"] for r in rows], float)
+
+
 def silhouettes(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     """(key, cluster, ``silhouette``) with cosine distance; a cluster of one has 0.
 
     One pass against the table of cluster means: a(i) and every b(i) are products with sums.
     With fewer than two clusters there are no rows.
     """
-    c = centroids(df, cluster, vector).select(F.col(cluster).alias("_c"), "mean", "n")
-    k = c.count()
-    if k < 2:
-        return df.sparkSession.createDataFrame([], df.select(key, cluster).withColumn("silhouette", F.lit(0.0)).schema)
-    # one row holding all cluster means: k vectors, checked below
-    if k * 128 > BROADCAST_CELLS:
-        raise ValueError(f"{k} clusters: compare silhouettes of fewer clusters")
-    table = c.agg(F.collect_list(F.struct("_c", "mean", "n")).alias("_t")).withColumn("_j", F.lit(1))
-    rows = df.where(F.col(cluster).isNotNull() & (F.col(cluster).cast("string") != "-1")).select(key, cluster, unit(F.col(vector)).alias("u"), F.lit(1).alias("_j")).join(F.broadcast(table), "_j")
-    own = F.filter("_t", lambda t: t["_c"] == F.col(cluster))[0]
-    n = own["n"]
-    a = (n * (1 - dot(F.col("u"), own["mean"])) - (1 - dot(F.col("u"), F.col("u")))) / (n - 1)
-    b = F.array_min(F.transform(F.filter("_t", lambda t: t["_c"] != F.col(cluster)), lambda t: 1 - dot(F.col("u"), t["mean"])))
-    return rows.select(key, cluster, F.when(n == 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b)).alias("silhouette"))
+    schema = df.select(key, cluster).withColumn("silhouette", F.lit(0.0)).schema
+    names, mean, n = _means(centroids(df, cluster, vector), cluster)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    held = df.sparkSession.sparkContext.broadcast(({c: i for i, c in enumerate(names)}, mean, n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, m, size = held.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            u = np.stack(pdf["u"].to_numpy())
+            own = pdf[cluster].map(at).to_numpy()
+            d = 1.0 - u @ m.T
+            rows = np.arange(len(u))
+            k = size[own]
+            a = (k * d[rows, own] - (1.0 - (u * u).sum(1))) / np.maximum(k - 1, 1)
+            d[rows, own] = np.inf
+            b = d.min(1)
+            yield pd.DataFrame({key: pdf[key], cluster: pdf[cluster], "silhouette": np.where(k == 1, 0.0, (b - a) / np.maximum(a, b))})
+
+    rows = df.where(F.col(cluster).isNotNull() & (F.col(cluster).cast("string") != "-1")).select(key, cluster, unit(F.col(vector)).alias("u"))
+    return rows.mapInPandas(run, schema)
 
 
 def selection_row(sil: DataFrame, cluster: str) -> DataFrame:
@@ -126,13 +147,20 @@ def near_ties(table: DataFrame, absolute: float = 0.002, relative: float = 0.02)
 def nearest_cluster(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     """(key, ``cluster``, ``peripheral``): noise moves to the cluster of the nearest mean by
     Euclidean distance, equal distances to the least cluster; without clusters all stays."""
-    c = df.where(F.col(cluster).cast("string") != "-1").select(cluster, F.col(vector).cast("array<double>").alias("v"))
-    means = mean_by_group(c, cluster, "v")
-    table = means.agg(F.collect_list(F.struct(F.col("mean"), F.col(cluster).alias("c"))).alias("_t")).withColumn("_j", F.lit(1))
-    rows = df.where(F.col(cluster).isNotNull()).select(key, F.col(cluster).alias("_c"), F.col(vector).cast("array<double>").alias("v"), F.lit(1).alias("_j")).join(F.broadcast(table), "_j", "left")
-
-    def gap(t: Column) -> Column:
-        return F.round(F.aggregate(F.zip_with(F.col("v"), t["mean"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), 9)
-
-    best = F.array_min(F.transform("_t", lambda t: F.struct(gap(t).alias("d"), t["c"].alias("c"))))["c"]
-    return rows.select(key, F.when((F.col("_c") == -1) & (F.size("_t") > 0), best).otherwise(F.col("_c")).alias("cluster"), (F.col("_c") == -1).alias("peripheral"))
+    c = df.where(F.col(cluster).isNotNull() & (F.col(cluster).cast("string") != "-1")).select(cluster, F.col(vector).cast("array<double>").alias("v"))
+    names, mean, _ = _means(mean_by_group(c, cluster, "v"), cluster)
+    rows = df.where(F.col(cluster).isNotNull()).select(key, F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    held = df.sparkSession.sparkContext.broadcast((np.array(names, int), mean))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, m = held.value
+        for pdf in batches:
+            out = pdf["c"].to_numpy().copy()
+            far = out == -1
+            if far.any() and len(ids):
+                x = np.stack(pdf["v"].to_numpy()[far])
+                d = np.stack([((x - row) ** 2).sum(1) for row in m], 1)
+                out[far] = ids[np.round(d, 9).argmin(1)]
+            yield pd.DataFrame({key: pdf[key], "cluster": out.astype(np.int32), "peripheral": far})
+
+    return rows.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, cluster int, peripheral boolean")

@@ -25,11 +25,10 @@ def write_json(df: DataFrame, path: str) -> None:
 def run_metadata(keywords: DataFrame, methods: list[str], view: str, embedding: str, least: int) -> DataFrame:
     """One row: counts and parameters of a batch run, keyword counts as a map."""
     n = keywords.groupBy("keyword").agg(F.countDistinct("paper_id").alias("n"))
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "n"))))
-    papers = keywords.agg(F.countDistinct("paper_id").alias("paper_count"))
-    one = n.agg(F.count(F.lit(1)).alias("keyword_count"), entries.alias("keyword_counts"))
-    return papers.withColumn("_j", F.lit(1)).join(one.withColumn("_j", F.lit(1)), "_j").drop("_j").withColumns(
-        {"methods": F.array(*[F.lit(m) for m in methods]), "text_view": F.lit(view), "embedding": F.lit(embedding), "min_papers_to_cluster": F.lit(least)})
+    papers = keywords.select("paper_id").distinct().count()
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "n"))))  # one entry per keyword group
+    return n.agg(F.count(F.lit(1)).alias("keyword_count"), entries.alias("keyword_counts")).withColumns(
+        {"paper_count": F.lit(papers), "methods": F.array(*[F.lit(m) for m in methods]), "text_view": F.lit(view), "embedding": F.lit(embedding), "min_papers_to_cluster": F.lit(least)})
 
 
 def cluster_lines(rows: DataFrame) -> DataFrame:
