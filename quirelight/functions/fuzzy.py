@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from quirelight.functions.text import title_key
 
@@ -15,7 +16,7 @@ from quirelight.functions.text import title_key
 ACCEPT = 0.88
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 x matching characters / all characters, by longest matching blocks."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
