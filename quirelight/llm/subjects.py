@@ -257,7 +257,7 @@ def subject_areas(papers: DataFrame, labels: DataFrame) -> DataFrame:
 
     A paper set in none has ``generic``; blank abstracts have no row. Without labels all
     papers are ``generic``. The cluster-level domain lists were measured as a further hint
-    and left out: they name areas of other papers of the cluster more often than not.
+    and left out: of the areas they name for hand-labelled papers 18 in 100 are right (check_l).
     Abstracts are assigned where they lie; the model, bounded by its parameters, is sent to
     every task.
     """

@@ -61,7 +61,7 @@ CASES = [
 WANT = [3, 3, 3, 5, 3, 3, 3, 3, 2, 3, 3, 3]
 
 
-@pytest.mark.parametrize("text,n", zip(CASES, WANT))
+@pytest.mark.parametrize("text,n", list(zip(CASES, WANT)))
 def test_sentence_cases(text, n):
     spans = sentences.sentence_spans(text)
     assert len(spans) == n, [text[a:b] for a, b in spans]
