@@ -66,6 +66,17 @@ def claims(s, d):
     return passages(s, d).select("id", "sentences", E.claim_sentences(F.col("sentences"), F.array(*[F.lit(t) for t in TERMS])).alias("claim"))
 
 
+def _claims_sql() -> str:
+    from quirelight.queries.texts import _SENT
+
+    own = " OR ".join(f"contains(lower(t), '{w}')" for w in E.OWN_CLAIMS)
+    want = roots_sql("'" + " ".join(TERMS) + "'")
+    return f"""WITH {_PASS}, l AS (SELECT id, paper_id, paragraph_index, sentences, {_SENT.format('sentences')} AS l FROM pa), t AS (SELECT id, paper_id, paragraph_index, sentences, trim(unnest(l)) AS t, generate_subscripts(l, 1) AS i FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, paper_id, paragraph_index, sentences ORDER BY CAST(({own}) AS INTEGER) DESC, len(list_intersect({roots_sql('t')}, {want})) DESC, i) AS p FROM t WHERE t <> ''),
+c AS (SELECT id, paper_id, paragraph_index, sentences, string_agg(t, ' ' ORDER BY i) AS claim FROM r WHERE p <= 2 GROUP BY ALL)
+SELECT pa.id, pa.sentences, coalesce(claim, substr(pa.sentences, 1, 300)) AS claim FROM pa LEFT JOIN c ON pa.id = c.id AND pa.paper_id IS NOT DISTINCT FROM c.paper_id AND pa.paragraph_index IS NOT DISTINCT FROM c.paragraph_index AND pa.sentences = c.sentences"""
+
+
 def evidence_selection(s, d):
     """The best evidence of every fifth of the papers, as clusters."""
     e = scored(s, d).withColumn("g", F.abs(F.hash("paper_id")) % 5)
@@ -147,7 +158,7 @@ QUERIES = {
     "passage_roots": (passage_roots, f"WITH {_PASS}, q AS (SELECT DISTINCT id, sentences, paper_id, paragraph_index FROM pa) SELECT id, sentences, unnest({roots_sql('sentences')}) AS root FROM q"),
     "citation_density": (lambda s, d: passages(s, d).select("id", "sentences", F.round(X.citation_density(F.col("sentences")), 6).alias("density")), f"WITH {_PASS} SELECT id, sentences, round({_DENS}, 6) AS density FROM pa"),
     "paragraph_evidence": (paragraph_evidence, _evidence_sql()),
-    "claim_sentences": (claims, None),
+    "claim_sentences": (claims, _claims_sql()),
     "evidence_selection": (evidence_selection, None),
     "claim_support": (support, f"{_SUP} SELECT paper_id, claim, best, best >= 0.35 AS supported FROM s"),
     "faithfulness": (faithfulness, f"{_SUP} SELECT substr(paper_id, 1, 1) AS g, round(avg(CAST(best >= 0.35 AS DOUBLE)), 2) AS faithfulness FROM s GROUP BY 1"),

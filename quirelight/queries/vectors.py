@@ -120,6 +120,13 @@ b AS (SELECT vec_id, arg_min(k, (round(d, 9), k)) AS k FROM (SELECT vec_id, k, l
 SELECT n.vec_id, CAST(coalesce(b.k, n.c) AS INTEGER) AS cluster, n.c = -1 AS peripheral FROM n LEFT JOIN b USING (vec_id)"""
 
 
+_DBSCAN = f"""WITH RECURSIVE {_V}, n AS (SELECT vec_id AS id, label % 2 AS part, u FROM u), e AS (SELECT a.part, a.id AS a, b.id AS b FROM n a JOIN n b ON a.part = b.part AND 1 - list_dot_product(a.u, b.u) <= 0.35 + 1e-12),
+core AS (SELECT part, a AS id FROM e GROUP BY 1, 2 HAVING count(*) >= 4), ce AS (SELECT e.a, e.b FROM e SEMI JOIN core x ON e.a = x.id SEMI JOIN core y ON e.b = y.id),
+reach AS (SELECT id, id AS r FROM core UNION SELECT ce.b, reach.r FROM reach JOIN ce ON ce.a = reach.id), root AS (SELECT id, min(r) AS r FROM reach GROUP BY 1),
+num AS (SELECT core.id, core.part, dense_rank() OVER (PARTITION BY core.part ORDER BY root.r) - 1 AS c FROM core JOIN root USING (id)), border AS (SELECT e.a AS id, min(num.c) AS c FROM e JOIN num ON e.b = num.id GROUP BY 1)
+SELECT n.part, n.id AS vec_id, CAST(coalesce(num.c, border.c, -1) AS INTEGER) AS cluster FROM n LEFT JOIN num ON num.id = n.id LEFT JOIN border ON border.id = n.id"""
+
+
 def _density(method, **o):
     def run(s, d):
         e = emb(s, d).withColumn("part", F.col("label") % 2)
@@ -150,7 +157,7 @@ CAST(sum(neg) AS BIGINT) AS negative_silhouette_count, round(sum(neg) / sum(n),
     "kmeans": (lambda s, d: K.kmeans(emb(s, d), "vec_id", "embedding", 6), None),
     "selection_table": (near_ties, None),
     "noise_assigned": (noise_assigned, _NOISE),
-    "dbscan": (_density("dbscan", eps=0.35), None),
+    "dbscan": (_density("dbscan", eps=0.35), _DBSCAN),
     "dbscan_auto": (_density("dbscan"), None),
     "hdbscan": (_density("hdbscan"), None),
     "layout": (lambda s, d: K.layout(emb(s, d), "vec_id", "embedding"), None),
