@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelight.llm.papers import one_row_per_paper
@@ -120,6 +121,28 @@ def aligned_bands(a: list[str], b: list[str], k: int = K, width: int = 8) -> tup
     return shared, len(sa) + len(sb) - shared, len(bands), max(bands.values(), default=0)
 
 
+def prefix_pairs(per: DataFrame, counted: DataFrame, threshold: float) -> DataFrame:
+    """(``class_a``, ``class_b``): a superset of the pairs at least ``threshold`` alike.
+
+    ``per``: ``class_id, size, code``, the distinct codes of a class and how many they are;
+    ``counted``: ``code, n`` of codes in two classes or more. All codes are ordered rarest
+    first. Of two classes so alike, one of the first ``size - ceil(threshold * size) + 1``
+    codes of each is common to both, and at their first common code enough codes follow in
+    both to reach the overlap needed. So no k-mer is left out for being frequent, and a phrase
+    of the collection pairs only classes that are made of such phrases for the greater part.
+    """
+    held = per.join(counted, "code")
+    by_class = W.partitionBy("class_id")
+    singles = F.col("size") - F.count(F.lit(1)).over(by_class)
+    placed = held.select("class_id", "size", "code", (singles + F.row_number().over(by_class.orderBy("n", "code")) - 1).alias("pos"))
+    placed = placed.where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9))
+    rest = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    enough = rest >= (F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-9
+    placed = materialise(placed, "prefixes")
+    return (placed.alias("a").join(placed.alias("b"), "code").where((F.col("a.class_id") < F.col("b.class_id")) & enough)
+            .select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct())
+
+
 def near_duplicates(records: DataFrame, key: str, text: str, *, threshold: float = 0.5, k: int = K, keep: int = KEEP, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of text classes at least ``threshold`` alike, and who is in them.
 
@@ -128,8 +151,10 @@ def near_duplicates(records: DataFrame, key: str, text: str, *, threshold: float
     runs of ``k`` words over those of either), ``bands`` and ``main_band`` of the alignment.
     Records whose text is null, or has fewer than ``k`` words and no exact copy, have no link.
 
-    Candidates come from Order MinHash sketches; a candidate pair is verified by banded
-    alignment over the full texts and kept on its exact similarity. Exact copies are folded
+    Candidates come from Order MinHash sketches, and from ``prefix_pairs`` those that sketches
+    of rare k-mers cannot see: where a work has so many edited versions that its own k-mers
+    are frequent. A candidate pair is verified by banded alignment over the full texts and
+    kept on its exact similarity. Exact copies are folded
     first, so a text that a third of the records share is one row from there on. A sketch
     shared by s classes would give s*s/2 pairs; the join therefore pairs each class only
     with classes that share a sketch, sketches being made of rare k-mers, and duplicates of
@@ -154,11 +179,12 @@ def near_duplicates(records: DataFrame, key: str, text: str, *, threshold: float
         held: dict[str, int] = {}
         for pdf in batches:
             got = [np.unique(kmer_codes(_word_codes(w.split(" "), held), k)) for w in pdf["words"]]
-            yield pd.DataFrame({"code": np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)})
+            size = np.array([len(x) for x in got], np.int64)
+            yield pd.DataFrame({"class_id": np.repeat(pdf["class_id"].to_numpy(), size), "size": np.repeat(size, size), "code": np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)})
 
-    per = texts.select("words").mapInPandas(codes, "code long")
+    per = texts.select("class_id", "words").mapInPandas(codes, "class_id string, size long, code long")
     n_classes = texts.count()
-    counted = per.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(per.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-codes")
     limit = max(FREQUENT, n_classes // 2000)
     often = materialise(counted.where(F.col("n") > limit), "frequent")
     # proven bound: a record has finitely many k-mers, so at most (k-mers in all) / limit are
@@ -191,8 +217,8 @@ def near_duplicates(records: DataFrame, key: str, text: str, *, threshold: float
     shared = marks.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch")
     marks = marks.join(shared, "sketch", "left_semi")
     pairs = (marks.alias("a").join(marks.alias("b"), "sketch").where("a.class_id < b.class_id")
-             .select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct())
-    pairs = materialise(pairs, "candidates")
+             .select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")))
+    pairs = materialise(pairs.unionByName(prefix_pairs(per, counted, threshold)).distinct(), "candidates")
     both = pairs.join(texts.select(F.col("class_id").alias("class_a"), F.col("words").alias("wa")), "class_a").join(texts.select(F.col("class_id").alias("class_b"), F.col("words").alias("wb")), "class_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -124,6 +124,18 @@ def test_near_duplicates_match_brute_force(spark):
         assert ((a, b) in pairs) == (jaccard(text[a], text[b]) >= 0.5), (a, b)
 
 
+def test_hundreds_of_edited_versions_lose_no_link(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = [(f"v{i:03}", " ".join(base[:k] + [f"edit{i}"] + base[k + 1 :])) for i, k in ((i, rng.randrange(100)) for i in range(200))]
+    phrase = [f"p{i}" for i in range(30)]
+    rows += [(f"x{i:03}", " ".join([f"o{rng.randrange(10**6)}" for _ in range(60)] + phrase)) for i in range(60)]  # a common phrase is no version
+    links, _ = near_dup.near_duplicates(spark.createDataFrame(rows, "id string, t string"), "id", "t")
+    got = {(r["class_a"], r["class_b"]) for r in links.collect()}
+    true = {(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if jaccard(s, t) >= 0.5}
+    assert len(true) == 200 * 199 // 2 and got == true
+
+
 def test_versions_by_title_and_doi(spark):
     rows = [(1, "p1", "A Title!", None, "doi: 10.1/X"), (2, "p2", "a title", "nan", "https://dx.doi.org/10.1/x"), (3, "p3", "a title", "some words that differ from all", "10.1/x"), (4, "p4", "a title", "", None), (5, "p5", "", "", "10.1/x"), (6, "p1", "other", "", "10.1/x")]
     df = spark.createDataFrame(rows, "input_row long, paper_id string, title string, abstract string, doi string").withColumn("words", F.lit(1)).withColumn("class_id", F.lit("q"))
