@@ -187,6 +187,20 @@ def test_planted_themes_are_found(spark):
         assert sorted(g.typical) == list(range(1, len(g) + 1)) and (g["size"] == len(g)).all()
 
 
+def test_a_theme_in_many_parts_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(themes, "BLOCK", 15)
+    rows, truth = planted(3, 50)
+    nouns = [f"noun{c}{d}" for c in "abcdefghijkl" for d in "mnopqrstuv"]
+    rng = random.Random(5)
+    for i in range(len(rows), len(rows) + 220):  # the common nouns are not the rarest terms
+        body = rng.sample(nouns, 40)
+        rows.append((i, f"p{i:04}", " ".join(body[:4]), "the results of " + " ".join(body)))
+    df = spark.createDataFrame(rows, "input_row long, paper_id string, title string, abstract string")
+    pairs = {tuple(r) for r in themes.theme_pairs(themes.themes(df)).collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(truth), 2) if truth[a] == truth[b]}
+    assert len(pairs & want) >= 0.9 * len(want) and len(pairs - want) <= 0.1 * len(pairs), (len(pairs & want), len(want), len(pairs - want))
+
+
 def test_components_of_chains(spark):
     nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(30)], "g string")
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(29) if i % 10 != 9], "a string, b string")
