@@ -7,15 +7,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelight.operators import geometry as G
 from quirelight.operators.vectors import BROADCAST_CELLS, unit
 from quirelight.session import materialise
 
-#: Rows one task clusters whole; larger groups are fitted on this many rows by hash, and
-#: every row is then assigned.
+#: Rows one task clusters whole; of larger groups HDBSCAN is fitted on this many rows by
+#: hash, and every row is then assigned.
 GROUP_LIMIT = 4000
+#: Rows of a block of a larger group, whose pairs of blocks DBSCAN compares.
+BLOCK = 1000
 
 
 def kmeans_steps(df: DataFrame, key: str, vector: str, k: int, rounds: int = 5) -> DataFrame:
@@ -253,12 +256,58 @@ def _method(name: str, eps: float | None, least: int, least_size: int, dims: int
     raise ValueError(f"unknown method {name!r}: dbscan, hdbscan or kmeans")
 
 
+def _dbscan_large(rows: DataFrame, eps: float | None, least: int, limit: int) -> DataFrame:
+    """(``g``, ``k``, ``cluster``): exact DBSCAN of groups of any size, numbered as by
+    ``_dbscan_labels``. Pairs within the radius come from pairs of blocks of at most about
+    ``BLOCK`` rows; connected core rows are found by least labels, spread over frames."""
+    gk, kk = rows.schema["g"].dataType.simpleString(), rows.schema["k"].dataType.simpleString()
+    if eps is None:
+        radius = rows.where(F.col("_h") < limit).groupBy("g").applyInPandas(lambda p: pd.DataFrame({"g": p["g"].iloc[:1], "eps": [auto_eps(np.stack(p.sort_values("k")["v"].to_numpy()), least)]}), f"g {gk}, eps double")
+        rows = rows.join(materialise(radius, "radius"), "g")
+    else:
+        rows = rows.withColumn("eps", F.lit(float(eps)))
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK)))
+    rows = materialise(rows.withColumns({"bs": blocks.cast("int"), "b": F.pmod(F.xxhash64("k", F.lit(11)), blocks).cast("int")}), "blocked")
+    # each row goes once to every pair of blocks that its block is in
+    every = F.explode(F.sequence(F.lit(0), F.col("bs") - 1))
+    sent = rows.select("g", "k", "v", "eps", "b", every.alias("o")).select("g", "k", "v", "eps", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["b"] == pdf["i"]], pdf[pdf["b"] == pdf["j"]]
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({"g": pdf["g"].iloc[:0], "a": pdf["k"].iloc[:0], "b": pdf["k"].iloc[:0]})
+        x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        at, to = np.nonzero(1.0 - x @ y.T <= pdf["eps"].iloc[0] + 1e-12)
+        a, b = left["k"].to_numpy()[at], right["k"].to_numpy()[to]
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "a": a, "b": b})
+
+    pairs = materialise(sent.groupBy("g", "i", "j").applyInPandas(near, f"g {gk}, a {kk}, b {kk}"), "near")
+    core = materialise(pairs.groupBy("g", "a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("g", "a"), "core")
+    inner = materialise(pairs.join(core, ["g", "a"], "left_semi").join(core.withColumnRenamed("a", "b"), ["g", "b"], "left_semi"), "core-pairs")
+    label = materialise(core.select("g", "a", F.col("a").alias("root")), "roots")
+    while True:
+        step = inner.join(label.withColumnRenamed("a", "b"), ["g", "b"]).groupBy("g", "a").agg(F.min("root").alias("new")).join(label, ["g", "a"])
+        up = label.select("g", F.col("a").alias("new"), F.col("root").alias("up"))
+        nxt = materialise(step.join(up, ["g", "new"]).select("g", "a", F.col("root").alias("old"), F.least("new", "up").alias("root")), "roots")
+        label = nxt.select("g", "a", "root")
+        if nxt.where("old != root").limit(1).count() == 0:
+            break
+    # one row per cluster is ranked, in its group
+    number = label.select("g", "root").distinct().withColumn("cluster", (F.row_number().over(W.partitionBy("g").orderBy("root")) - 1).cast("int"))
+    of_core = label.join(number, ["g", "root"]).select("g", F.col("a").alias("k"), "cluster")
+    border = pairs.join(core, ["g", "a"], "left_anti").join(of_core.withColumnRenamed("k", "b"), ["g", "b"]).groupBy("g", F.col("a").alias("k")).agg(F.min("cluster").alias("cluster"))
+    return rows.select("g", "k").join(of_core.unionByName(border), ["g", "k"], "left").select("g", "k", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
 def density_clusters(df: DataFrame, group: str, key: str, vector: str, method: str, *, eps: float | None = None, min_samples: int = 4, min_cluster_size: int = 5, dims: int = 5, limit: int = GROUP_LIMIT) -> DataFrame:
     """(group, key, ``cluster``): DBSCAN or HDBSCAN in each group; noise is -1.
 
-    A group of up to ``limit`` rows is one task's work. Of a larger one ``limit`` rows, taken
-    by hash, are clustered, and its other rows take the cluster of the nearest of these within
-    the radius of that cluster; groups are salted for that step, so no task holds one whole.
+    A group of up to ``limit`` rows is one task's work. A larger one is clustered by DBSCAN
+    over all its rows, in blocks; only a radius that is not given is chosen on ``limit`` rows,
+    taken by hash. By HDBSCAN ``limit`` rows of it, taken by hash, are clustered, and its other
+    rows take the cluster of the nearest of these; groups are salted for that step.
     """
     run = _method(method, eps, min_samples, min_cluster_size, dims)
     gk, kk = df.schema[group].dataType.simpleString(), df.schema[key].dataType.simpleString()
@@ -271,11 +320,17 @@ def density_clusters(df: DataFrame, group: str, key: str, vector: str, method: s
         pdf = pdf.sort_values("k")
         return pd.DataFrame({"g": pdf["g"], "k": pdf["k"], "cluster": run(np.stack(pdf["v"].to_numpy())), "v": pdf["v"]})
 
+    if method == "dbscan":  # large groups take another way, below
+        fit = fit.where(F.col("n") <= limit)
     done = fit.select("g", "k", "v").groupBy("g").applyInPandas(one, f"g {gk}, k {kk}, cluster int, v array<double>")
     done = materialise(done, "density")
     rest = rows.where(F.col("_h") >= limit)
     if rest.limit(1).count() == 0:
         return done.select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
+    if method == "dbscan":
+        whole = done.join(sizes.where(F.col("n") > limit), "g", "left_anti").select("g", "k", "cluster")
+        more = _dbscan_large(rows.where(F.col("n") > limit).select("g", "k", "v", "n", "_h"), eps, min_samples, limit)
+        return whole.unionByName(more).select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
     salts = 16
 
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -40,6 +40,17 @@ def test_auto_eps_and_large_groups(blobs):
     assert len(got) == 38 and agree(got[got.label >= 0], "cluster", "label")
 
 
+def test_large_groups_are_clustered_whole(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    at = rng.normal(size=(4, 5))
+    x = np.concatenate([at[i] + rng.normal(0, 0.03, (n, 5)) for i, n in enumerate((70, 60, 6, 5))] + [rng.normal(size=(15, 5))])
+    df = spark.createDataFrame([("g", i, v.tolist()) for i, v in enumerate(x)], "g string, id long, v array<double>")
+    want = K._dbscan_labels(x / np.linalg.norm(x, axis=1, keepdims=True), 0.01, 4)
+    got = K.density_clusters(df, "g", "id", "v", "dbscan", eps=0.01, limit=50).orderBy("id").toPandas()
+    assert want.max() >= 3 and (want == -1).any() and list(got.cluster) == list(want)
+
+
 def test_kmeans_variants(blobs):
     real = blobs.where("label >= 0")
     for lab in (K.kmeans_steps(real.orderBy("label"), "id", "v", 3, 5), K.kmeans(real, "id", "v", 3)):
