@@ -101,4 +101,5 @@ def distinctive_terms(papers: DataFrame, clusters: DataFrame, *, low: int = 2, h
     """
     p = score_terms(materialise(paper_term_counts(papers), "paper-terms"), ["record_kind", "record_key"], min_count=paper_count, min_records=low, max_records=high)
     c = score_terms(materialise(cluster_term_counts(clusters), "cluster-terms"), ["record_kind", "record_key"], min_records=low, max_records=high)
-    return p.unionByName(c)
+    # written with the scores, so that every reader of the terms takes them from the scored table
+    return materialise(p.unionByName(c), "scored-terms")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,28 +97,29 @@ def order_min_hash(kmers: np.ndarray, frequent: np.ndarray, keep: int, sketches:
 
 
 def aligned_bands(a: list[str], b: list[str], k: int = K, width: int = 8) -> tuple[int, int, int, int]:
-    """(shared distinct k-mers, distinct k-mers in either, bands, k-mers in the main band).
+    """(distinct k-mers aligned, distinct k-mers in either, bands, k-mers in the main band).
 
-    Shared k-mers are aligned in bands of ``width`` neighbouring diagonals: an insertion
-    shifts the rest into the next band, a moved passage gives a band of its own. Every
-    shared k-mer lies in some band, so the union of all bands is the whole overlap.
+    The k-mers of ``a`` are aligned with their places in ``b`` along the diagonal last used, in
+    bands of ``width`` neighbouring diagonals: an insertion shifts the rest into the next
+    band, a moved passage gives a band of its own. What the bands cover together decides a
+    pair; it is the whole overlap, since a k-mer of both texts lies in some band.
     """
     ka = [tuple(a[i : i + k]) for i in range(len(a) - k + 1)]
     kb = [tuple(b[i : i + k]) for i in range(len(b) - k + 1)]
     where: dict[tuple, list[int]] = {}
     for j, x in enumerate(kb):
         where.setdefault(x, []).append(j)
-    sa, sb = set(ka), set(where)
-    bands: Counter = Counter()
-    last = None
+    bands: dict[int, set[tuple]] = {}
+    last = 0
     for i, x in enumerate(ka):
         places = where.get(x)
         if places:
-            d = min((j - i for j in places), key=lambda v: (abs(v - last) if last is not None else abs(v), v))
-            last = d
-            bands[d // width] += 1
-    shared = len(sa & sb)
-    return shared, len(sa) + len(sb) - shared, len(bands), max(bands.values(), default=0)
+            at = bisect.bisect_left(places, i + last)
+            near = places[max(0, at - 1) : at + 1]
+            last = min((j - i for j in near), key=lambda v: (abs(v - last), v))
+            bands.setdefault(last // width, set()).add(x)
+    covered: set[tuple] = set().union(*bands.values())
+    return len(covered), len(set(ka)) + len(where) - len(covered), len(bands), max((len(v) for v in bands.values()), default=0)
 
 
 def prefix_pairs(per: DataFrame, counted: DataFrame, threshold: float) -> DataFrame:

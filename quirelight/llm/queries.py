@@ -16,6 +16,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select("record_kind", "record_key", "term")
 
 
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same terms with their counts and log-likelihood ratio."""
+    got = distinctive.distinctive_terms(table(spark, d, "final_advancing_list"), table(spark, d, "clustering_results"))
+    return got.select("record_kind", "record_key", "term", "n", "n_records", F.round("g2", 3).alias("g2"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.passage_sentences(table(spark, d, "build_fulltext_context"), table(spark, d, "evidence_items"))
 
@@ -92,6 +98,26 @@ UNION ALL
 SELECT 'cluster', record_key, term FROM kept JOIN rare USING (term)
 """
 
+def _xlx(c: str) -> str:
+    return f"(CASE WHEN {c} > 0 THEN {c} * ln({c}) ELSE 0 END)"
+
+
+def _g2(a: str, rt: str, tt: str, n: str) -> str:
+    """Dunning's ratio of a term counted ``a`` times in a record of ``rt`` and ``tt`` times in ``n`` in all."""
+    cells = [a, f"({rt} - {a})", f"({tt} - {a})", f"({n} - {rt} - {tt} + {a})", n]
+    margins = [rt, f"({n} - {rt})", tt, f"({n} - {tt})"]
+    sign = f"CASE WHEN {a} * ({n} - {rt}) >= ({tt} - {a}) * {rt} THEN 2 ELSE -2 END"
+    return f"round({sign} * ({' + '.join(_xlx(f'CAST({c} AS DOUBLE)') for c in cells)} - {' - '.join(_xlx(f'CAST({c} AS DOUBLE)') for c in margins)}), 3)"
+
+
+_P1_SCORES = _P1_SQL.split("SELECT 'paper' AS record_kind")[0].rstrip() + f""",
+pr AS (SELECT paper_id, sum(n) AS rt FROM held GROUP BY 1), pt AS (SELECT term, sum(n) AS tt, count(*) AS k FROM held GROUP BY 1), pn AS (SELECT sum(n) AS total FROM held),
+cr AS (SELECT record_key, count(*) AS rt FROM kept GROUP BY 1), ct AS (SELECT term, count(*) AS tt FROM kept GROUP BY 1), cn AS (SELECT count(*) AS total FROM kept)
+SELECT 'paper' AS record_kind, paper_id AS record_key, term, n, k AS n_records, {_g2('n', 'rt', 'tt', 'total')} AS g2 FROM held JOIN few USING (term) JOIN pr USING (paper_id) JOIN pt USING (term), pn WHERE n >= 2
+UNION ALL
+SELECT 'cluster', record_key, term, 1, tt, {_g2('1', 'rt', 'tt', 'total')} FROM kept JOIN rare USING (term) JOIN cr USING (record_key) JOIN ct USING (term), cn
+"""
+
 _P6_SQL = """
 WITH best AS (
   SELECT run_id, text_view, cluster_method, cluster, paper_id, min((representative_rank, coalesce(medoid_rank, 2147483647))) AS k
@@ -115,4 +141,4 @@ SELECT least(a.paper_id, b.paper_id), greatest(a.paper_id, b.paper_id) FROM one
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1_SQL, "p3_found": _P3_SQL, "p6_found": _P6_SQL}
+    return {"p1_found": _P1_SQL, "p1_scores": _P1_SCORES, "p3_found": _P3_SQL, "p6_found": _P6_SQL}

@@ -14,7 +14,9 @@ from quirelight.session import materialise
 
 #: Longer texts are cut into chunks of this many characters, processed apart.
 CHUNK = 65_536
-#: Characters that a chunk sees on either side of itself, to classify its first and last events.
+#: Letters and digits that a chunk sees on either side of itself, to classify its first and last
+#: events. The rules look at most 40 characters of words back and ahead, beyond any run of white
+#: space and marks; such a run is never cut, so a chunk classifies as the whole text would.
 MARGIN = 96
 #: Chunks whose state functions one task composes before the next level of the scan.
 FAN = 1024
@@ -181,8 +183,14 @@ def _after_close(text: str, start: int, end: int) -> bool:
 
 
 def events(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """(position after the event, class) of the events that start in [lo, hi)."""
-    for m in _EVENT.finditer(text, max(0, lo - MARGIN // 2)):
+    """(position after the event, class) of the events that start in [lo, hi).
+
+    No event holds a letter or digit, so the search starts right after the last one before
+    ``lo`` and meets the same events as a search from the text's begin."""
+    at = lo
+    while at and not text[at - 1].isalnum():
+        at -= 1
+    for m in _EVENT.finditer(text, at):
         a, b = m.span()
         if a < lo:
             continue  # belongs to the chunk before, even where it reaches into this one
@@ -210,6 +218,31 @@ def events(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
             yield b, CLOSE_END if _after_close(text, a, b) else CLOSE
 
 
+def _beyond(text: str, at: int, step: int) -> int:
+    """Where ``MARGIN`` letters and digits lie between ``at`` and there (or the text ends)."""
+    seen = 0
+    while 0 < at < len(text) if step < 0 else at < len(text):
+        seen += (text[at - 1] if step < 0 else text[at]).isalnum()
+        at += step
+        if seen == MARGIN:
+            break
+    return at
+
+
+def pieces_of(text: str, chunk: int) -> Iterator[tuple[int, int, int, int, str]]:
+    """(chunk number, its begin and end, where its piece starts, the piece): every chunk with
+    its margins, by one pass over the text. A chunk begins at a letter or digit, so no event
+    lies across two; a text without any is one chunk."""
+    lo = c = 0
+    while lo < len(text):
+        hi = min(lo + chunk, len(text))
+        while hi < len(text) and not text[hi].isalnum():
+            hi += 1
+        a = _beyond(text, lo, -1)
+        yield c, lo, hi, a, text[a : _beyond(text, hi, 1)]
+        lo, c = hi, c + 1
+
+
 def chunk_function(text: str, lo: int, hi: int) -> list[int]:
     """The chunk as a function: end state for every start state."""
     f = np.arange(STATES, dtype=np.int8)
@@ -281,18 +314,28 @@ def split_sentences(texts: DataFrame, keys: list[str], text: str, *, chunk: int
     if src.where(size > chunk).limit(1).count() == 0:
         return short
     long_ = src.where(size > chunk).withColumn("_id", F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys], F.col("_t")), 256))
-    pieces = long_.withColumn("_n", size).select("_id", *keys, "_n", F.explode(F.expr(f"sequence(0, cast((_n - 1) / {chunk} as int))")).alias("_c"), "_t")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, t in zip(pdf["_id"], pdf["_t"]):
+                rows = []
+                for c, lo, hi, a, p in pieces_of(t, chunk):
+                    rows.append((i, len(t), c, lo - a, hi - a, a, p))
+                    if len(rows) == 64:
+                        yield pd.DataFrame(rows, columns=["_id", "_n", "_c", "_lo", "_hi", "_s", "_p"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["_id", "_n", "_c", "_lo", "_hi", "_s", "_p"])
+
     # each chunk carries its margins only, not the whole text
-    start = F.greatest(F.lit(0), F.col("_c") * chunk - MARGIN)
-    pieces = pieces.withColumn("_s", start.cast("int")).withColumn("_p", F.expr(f"substring(_t, _s + 1, {chunk} + {2 * MARGIN})")).drop("_t")
+    pieces = long_.select("_id", "_t").mapInPandas(cut, "_id string, _n int, _c int, _lo int, _hi int, _s int, _p string")
     pieces = materialise(pieces.repartition("_id", "_c"), "chunks")
 
     def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            f = [chunk_function(p, c * chunk - s, c * chunk - s + chunk) for c, s, p in zip(pdf["_c"], pdf["_s"], pdf["_p"])]
+            f = [chunk_function(p, lo, hi) for lo, hi, p in zip(pdf["_lo"], pdf["_hi"], pdf["_p"])]
             yield pd.DataFrame({"_id": pdf["_id"], "_c": pdf["_c"], "_f": f})
 
-    fs = materialise(pieces.select("_id", "_c", "_s", "_p").mapInPandas(functions, "_id string, _c int, _f array<int>"), "functions").withColumn("_b", F.expr(f"cast(_c / {FAN} as int)"))
+    fs = materialise(pieces.select("_id", "_c", "_lo", "_hi", "_p").mapInPandas(functions, "_id string, _c int, _f array<int>"), "functions").withColumn("_b", F.expr(f"cast(_c / {FAN} as int)"))
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         f = list(range(STATES))
@@ -318,20 +361,18 @@ def split_sentences(texts: DataFrame, keys: list[str], text: str, *, chunk: int
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, c, s, n, q, p in zip(pdf["_id"], pdf["_c"], pdf["_s"], pdf["_n"], pdf["_q"], pdf["_p"]):
-                lo = c * chunk - s
-                hi = min(lo + chunk, len(p))
+            for i, c, lo, hi, s, n, q, p in zip(*(pdf[k] for k in ("_id", "_c", "_lo", "_hi", "_s", "_n", "_q", "_p"))):
                 found = chunk_cuts(p, lo, hi, q)
                 # trimmed pieces between cuts, marked where they touch the chunk's ends
-                edges = [lo, *[min(x, len(p)) for x in found]]
+                edges = [lo, *found]
                 for k, a in enumerate(edges):
-                    b = edges[k + 1] if k + 1 < len(edges) else max(hi, a)
+                    b = edges[k + 1] if k + 1 < len(edges) else hi
                     got = spans(p, [], a, b)
                     x, y = got[0] if got else (a, a)
-                    rows.append((i, c, k, x + s, y + s, k == 0 and lo > 0, k + 1 == len(edges) and hi + s < n))
+                    rows.append((i, c, k, x + s, y + s, k == 0 and c > 0, k + 1 == len(edges) and hi + s < n))
             yield pd.DataFrame(rows, columns=["_id", "_c", "_k", "_a", "_z", "_from", "_on"])
 
-    parts = pieces.join(starts, ["_id", "_c"]).select("_id", "_c", "_s", "_n", "_q", "_p").mapInPandas(cuts, "_id string, _c int, _k int, _a int, _z int, _from boolean, _on boolean")
+    parts = pieces.join(starts, ["_id", "_c"]).select("_id", "_c", "_lo", "_hi", "_s", "_n", "_q", "_p").mapInPandas(cuts, "_id string, _c int, _k int, _a int, _z int, _from boolean, _on boolean")
     parts = materialise(parts, "parts")
     inner = parts.where("not _from and not _on and _z > _a").select("_id", F.col("_a").alias("start_pos"), F.col("_z").alias("end_pos"))
 

@@ -69,25 +69,28 @@ def test_sentence_cases(text, n):
     assert "".join("".join(text[a:b].split()) for a, b in spans) == "".join(text.split())
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(CASES), min_size=1, max_size=4), st.integers(1, 40))
-def test_chunk_functions_compose_to_the_whole(parts, cuts):
-    text = "\n\n".join(parts)
-    size = max(1, len(text) // cuts)
-    state, found = 0, []
-    for lo in range(0, len(text), size):
-        hi = min(lo + size, len(text))
-        found += sentences.chunk_cuts(text, lo, hi, state)
-        state = sentences.chunk_function(text, lo, hi)[state]
-    assert sentences.spans(text, found) == sentences.sentence_spans(text)
+RUNS = st.sampled_from([" " * 250, "." * 200, ' "' * 90, ") " * 80, "\n" * 150, " \n\n " * 60, "\u2026 " * 70, "a" * 150, "\u0e01 " * 100, "."])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(CASES), RUNS), min_size=1, max_size=6), st.integers(1, 300))
+def test_chunks_with_their_margins_give_the_cuts_of_the_whole(parts, size):
+    text = "".join(parts)
+    state, found, at = 0, [], 0
+    for _, lo, hi, start, piece in sentences.pieces_of(text, size):
+        assert lo == at and text[start : start + len(piece)] == piece
+        found += [c + start for c in sentences.chunk_cuts(piece, lo - start, hi - start, state)]
+        state, at = sentences.chunk_function(piece, lo - start, hi - start)[state], hi
+    assert at == len(text) and found == sentences.chunk_cuts(text, 0, len(text), 0)
 
 
 def test_long_texts_take_the_scan(spark):
     long = "\n\n".join(CASES * 3) + ' She said "' + "one two. " * 60 + '" and left. End.'
-    df = spark.createDataFrame([("a", long), ("b", "Short. Text."), ("c", ""), ("d", None), ("e", " \n ")], "k string, t string")
+    gaps = "One ends." + " " * 250 + "Two goes on" + "." * 200 + " Three" + "\n" * 150 + "four." + ' "' * 90
+    df = spark.createDataFrame([("a", long), ("b", "Short. Text."), ("c", ""), ("d", None), ("e", " \n "), ("f", gaps)], "k string, t string")
     whole = {tuple(r) for r in sentences.split_sentences(df, ["k"], "t").collect()}
     cut = {tuple(r) for r in sentences.split_sentences(df, ["k"], "t", chunk=64).collect()}
-    assert cut == whole and {k for k, *_ in whole} == {"a", "b"}
+    assert cut == whole and {k for k, *_ in whole} == {"a", "b", "f"}
 
 
 # --- 3: near duplicates ---
