@@ -10,8 +10,8 @@ KEYWORDS = (
     "Design knowledge", "Design patterns", "Design guidelines", "Design heuristics", "Design procedures", "Design expertise",
     "Design methods", "Design rules", "Design principles", "Design rationale", "Design theory", "Design frameworks",
 )
-# Prefixes a DOI is freed of, in this order.
-DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http://dx.doi.org/", "doi:")
+# Prefixes a DOI is freed of, in this order (in any case).
+DOI_PREFIXES = ("doi:", "https://doi.org/", "http://doi.org/")
 # Texts that count as true.
 TRUE_TEXTS = ("1", "true", "yes", "y")
 # Roots too general to tell evidence apart.
@@ -75,9 +75,13 @@ def title_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def arxiv_id(doi_or_url: Column) -> Column:
-    """The arXiv number in a DOI or URL, '' if there is none."""
-    return F.regexp_extract(F.lower(F.coalesce(doi_or_url, F.lit(""))), r"arxiv(?:\.org/(?:abs|pdf)/|\.)(\d{4}\.\d{4,5})", 1)
+def arxiv_pdf(doi: Column, url: Column) -> Column:
+    """The PDF address of an arXiv paper, from its DOI, else from a URL on arXiv's own host;
+    '' if it is none."""
+    of_doi = F.regexp_extract(F.coalesce(doi, F.lit("")), r"(?i)10\.48550/arxiv\.([^/]+)$", 1)
+    of_url = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^[a-z]+://(?:www\.)?arxiv\.org/(?:[^?#]*/)?(?:abs|pdf)/([^/?#]+)", 1), r"\.pdf$", "")
+    number = F.when(of_doi != "", of_doi).otherwise(of_url)
+    return F.when(number != "", F.concat(F.lit("https://arxiv.org/pdf/"), number, F.lit(".pdf"))).otherwise(F.lit(""))
 
 
 def is_direct_pdf(url: Column) -> Column:

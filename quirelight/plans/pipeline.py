@@ -120,7 +120,10 @@ def run(spark: SparkSession, papers: DataFrame, contexts: DataFrame, o: Options
     s = s.withColumn("phrases", F.filter(F.transform(F.split("theme_terms", ","), lambda t: F.trim(t)), lambda t: t != "")).withColumn("extra", L.suffix(F.col("domain"), F.col("phrases")))
     s = L.distinct_labels(s, ["keyword", "cluster_method"], "cluster", "label", "extra")
     own = L.unique_phrases(s, ["keyword", "cluster_method"], "cluster", "phrases")
-    s = s.join(own, ["keyword", "cluster_method", "cluster"], "left").withColumn("summary", L.contrastive_summary(F.col("summary"), F.coalesce("unique", F.array().cast("array<string>")), F.col("contribution"), F.col("contribution")))
+    kinds = s.groupBy("keyword", "cluster_method", "contribution").agg(F.count(F.lit(1)).alias("_k"))
+    most = kinds.groupBy("keyword", "cluster_method").agg(F.max_by("contribution", F.struct("_k", "contribution")).alias("majority"))
+    s = s.join(own, ["keyword", "cluster_method", "cluster"], "left").join(most, ["keyword", "cluster_method"])
+    s = s.withColumn("summary", L.contrastive_summary(F.col("summary"), F.coalesce("unique", F.array().cast("array<string>")), F.col("contribution"), F.col("majority")))
     clusters = s.select("keyword", "cluster_method", "cluster", "n", F.col("final_label").alias("label"), "summary", "contribution", "secondary", "subtype", "move", "domain", "theme_terms")
     rows = ranked.drop("low", "g").withColumn("cluster_status", F.lit("clustered")).join(clusters.select("keyword", "cluster_method", "cluster", "label", "theme_terms"), ["keyword", "cluster_method", "cluster"], "left")
     return {"papers": rows.unionByName(small, allowMissingColumns=True), "clusters": clusters, "keywords": keywords}

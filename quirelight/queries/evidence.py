@@ -151,7 +151,12 @@ def contrastive(s, d):
     x = _summaries(s, d)
     n = x.groupBy("run", "contribution").agg(F.count(F.lit(1)).alias("k"))
     top = n.withColumn("p", F.row_number().over(W.partitionBy("run").orderBy(F.desc("k"), "contribution"))).where("p = 1").select("run", F.col("contribution").alias("majority"))
-    return x.join(top, "run").select("g", L.contrastive_summary(F.col("summary"), F.array().cast("array<string>"), F.col("contribution"), F.col("majority")).alias("summary"))
+    # phrases of a cluster: the words of its leading titles
+    phrases = F.filter(F.split(F.lower(F.array_join("titles", " ")), "[^a-z]+"), lambda w: F.length(w) > 3)
+    x = x.withColumn("phrases", F.array_distinct(phrases))
+    own = L.unique_phrases(x, ["run"], "cluster", "phrases")
+    none = F.array().cast("array<string>")
+    return x.join(top, "run").join(own, ["run", "cluster"], "left").select("g", L.contrastive_summary(F.col("summary"), F.coalesce("unique", none), F.col("contribution"), F.col("majority")).alias("summary"))
 
 
 QUERIES = {
@@ -167,6 +172,10 @@ QUERIES = {
 y AS (SELECT *, count(*) OVER (PARTITION BY run, label) AS k, row_number() OVER (PARTITION BY run, label, extra ORDER BY cluster) AS f FROM x)
 SELECT g, 'Cluster ' || cluster || ': ' || CASE WHEN k > 1 AND f = 1 AND extra <> '' THEN label || ' around ' || extra ELSE label END AS final_label FROM y"""),
     "unique_phrases": (unique_phrases, _UNI),
-    "contrastive_summaries": (contrastive, f"""WITH {_LAB}, n AS (SELECT run, contribution, count(*) AS k FROM la GROUP BY 1, 2), m AS (SELECT run, arg_min(contribution, (-k, contribution)) AS majority FROM n GROUP BY 1)
-SELECT g, summary || CASE WHEN contribution <> majority THEN ' Most siblings are ' || majority || '.' ELSE '' END AS summary FROM la JOIN m USING (run)"""),
+    "contrastive_summaries": (contrastive, f"""WITH {_LAB}, n AS (SELECT run, contribution, count(*) AS k FROM la GROUP BY 1, 2), m AS (SELECT run, arg_min(contribution, (-k, contribution)) AS majority FROM n GROUP BY 1),
+re_ AS (SELECT * FROM la WHERE cluster >= 0), many AS (SELECT run FROM re_ GROUP BY run HAVING count(DISTINCT cluster) >= 2),
+ph AS (SELECT DISTINCT run, cluster, w AS phrase, CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END AS root FROM (SELECT run, cluster, unnest(string_split_regex(lower(array_to_string(titles, ' ')), '[^a-z]+')) AS w FROM re_ SEMI JOIN many USING (run)) WHERE length(w) > 3),
+sp AS (SELECT run, root, count(DISTINCT cluster) AS c FROM ph GROUP BY 1, 2), un AS (SELECT run, cluster, list(phrase ORDER BY phrase) AS own FROM ph JOIN sp USING (run, root) WHERE c = 1 GROUP BY 1, 2)
+SELECT g, summary || CASE WHEN len(coalesce(own, [])) > 0 THEN ' Unlike its siblings it treats ' || array_to_string(own[1:3], ', ') || '.' ELSE '' END || CASE WHEN contribution <> majority THEN ' Most siblings are ' || majority || '.' ELSE '' END AS summary
+FROM la JOIN m USING (run) LEFT JOIN un USING (run, cluster)"""),
 }

@@ -116,10 +116,15 @@ for _p in X.DOI_PREFIXES:
 _DOI = f"trim({_DOI})"
 
 
+_ARX_DOI = "regexp_extract(coalesce(doi, ''), '(?i)10\\.48550/arxiv\\.([^/]+)$', 1)"
+_ARX_URL = "regexp_replace(regexp_extract(coalesce(url, ''), '(?i)^[a-z]+://(?:www\\.)?arxiv\\.org/(?:[^?#]*/)?(?:abs|pdf)/([^/?#]+)', 1), '\\.pdf$', '')"
+_ARX = f"CASE WHEN {_ARX_DOI} <> '' THEN {_ARX_DOI} ELSE {_ARX_URL} END"
+
+
 def name_keys(s, d):
     p = papers(s, d)
     return p.select("paper_id", X.slug(F.col("title")).alias("slug"), X.safe_name(F.col("title")).alias("file_name"), X.doi(F.col("doi")).alias("doi_key"), X.title_key(F.col("title")).alias("title_key"),
-                    X.arxiv_id(F.col("url")).alias("arxiv"), X.is_direct_pdf(F.col("url")).alias("direct_pdf"))
+                    X.arxiv_pdf(F.col("doi"), F.col("url")).alias("arxiv"), X.is_direct_pdf(F.col("url")).alias("direct_pdf"))
 
 
 def acquisition_status(s, d):
@@ -162,7 +167,7 @@ b AS (SELECT paper_id, link, min(source) AS source FROM l WHERE link <> '' GROUP
 SELECT paper_id, link, CAST(source AS INTEGER) AS source, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY source, link) AS INTEGER) AS place FROM b"""),
     "name_keys": (name_keys, f"""WITH {PAPERS} SELECT paper_id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
 CASE WHEN regexp_replace(regexp_replace(trim(title), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') = '' THEN 'paper' ELSE regexp_replace(regexp_replace(trim(title), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') END AS file_name,
-{_DOI} AS doi_key, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key, regexp_extract(lower(coalesce(url, '')), 'arxiv(?:\\.org/(?:abs|pdf)/|\\.)(\\d{{4}}\\.\\d{{4,5}})', 1) AS arxiv,
+{_DOI} AS doi_key, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key, CASE WHEN ({_ARX}) <> '' THEN 'https://arxiv.org/pdf/' || ({_ARX}) || '.pdf' ELSE '' END AS arxiv,
 coalesce(regexp_matches(string_split(url, '?')[1], '(?i)\\.pdf$'), false) AS direct_pdf FROM papers"""),
     "acquisition_status": (acquisition_status, f"""WITH {PAPERS}, {CONTEXTS} SELECT CASE WHEN coalesce(pdf_found, false) AND coalesce(pdf_extract_method, 'missing') <> 'failed' THEN 'existing' WHEN pdf_extract_method = 'failed' THEN 'failed'
 WHEN coalesce(regexp_matches(string_split(url, '?')[1], '(?i)\\.pdf$'), false) THEN 'direct' WHEN {_DOI} <> '' THEN 'resolvable' ELSE 'no_open_pdf_candidate' END AS status, count(*) AS n FROM papers p LEFT JOIN contexts c USING (paper_id) GROUP BY 1"""),

@@ -16,7 +16,6 @@ _BUILD = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.host": "127.0.0.1",
 }
 
 
@@ -25,6 +24,8 @@ def build_session(master: str | None = None, app: str = "quirelight", **conf: st
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):  # on a cluster the executors must reach the driver
+            b = b.config("spark.driver.host", "127.0.0.1")
     for k, v in _BUILD.items():
         b = b.config(k, v)
     for k, v in conf.items():
@@ -42,11 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is taken and set.
+    Only on one machine (a ``local`` master, as in tests) a temporary folder is taken and set
+    where it is unset; a cluster without the setting is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="quirelight-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -20,7 +20,7 @@ def test_keywords(spark, raw, expected):
 
 
 @pytest.mark.parametrize("raw,expected", [
-    ("https://doi.org/10.1/AB", "10.1/ab"), ("doi:10.1/x", "10.1/x"), ("http://dx.doi.org/10.1/y ", "10.1/y"), (None, ""), ("https://doi.org/doi:10.2/z", "10.2/z")])
+    ("https://doi.org/10.1/AB", "10.1/ab"), ("doi:10.1/x", "10.1/x"), ("DOI:https://doi.org/10.1/y ", "10.1/y"), (None, ""), ("doi:http://doi.org/10.2/z", "10.2/z"), ("https://doi.org/doi:10.2/z", "doi:10.2/z")])
 def test_doi(spark, raw, expected):
     assert one(spark, raw, X.doi) == expected
 
@@ -30,7 +30,14 @@ def test_names_and_links(spark):
     assert one(spark, "..", X.safe_name) == "paper"
     assert one(spark, "x/y.PDF?dl=1", X.is_direct_pdf) is True
     assert one(spark, None, X.is_direct_pdf) is False
-    assert one(spark, "https://arxiv.org/abs/2101.01234", X.arxiv_id) == "2101.01234"
+
+
+@pytest.mark.parametrize(("doi", "url", "expected"), [
+    ("10.48550/arXiv.2101.01234", None, "https://arxiv.org/pdf/2101.01234.pdf"), (None, "https://www.arxiv.org/pdf/2101.01234.pdf?x", "https://arxiv.org/pdf/2101.01234.pdf"),
+    ("10.1/x", "https://arxiv.org/abs/cs.HC1", "https://arxiv.org/pdf/cs.HC1.pdf"), (None, "https://evil.example/arxiv.org/abs/2101.01234", ""), (None, None, "")])
+def test_arxiv(spark, doi, url, expected):
+    df = spark.createDataFrame([(doi, url)], "d string, u string")
+    assert df.select(X.arxiv_pdf(F.col("d"), F.col("u"))).first()[0] == expected
 
 
 def test_spaces_and_blocks(spark):
