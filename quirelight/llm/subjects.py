@@ -24,10 +24,10 @@ from quirelight.session import materialise
 LABEL_LIMIT = 12_000
 #: Distinct subject vectors that fit the tree, at most (the commonest); all are assigned.
 VECTOR_LIMIT = 20_000
-LEAVES = 160
+LEAVES = 400
 #: How sharply a statement belongs to its nearest leaves (power of the cosine); share of a
 #: statement's leaf mixture from which on it treats an area.
-SHARPNESS, FLOOR = 6, 0.3
+SHARPNESS, FLOOR = 8, 0.25
 NONE = "generic"
 
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”»)]*\s+")
@@ -169,26 +169,51 @@ class SubjectModel:
         self.centres = np.stack([(w[label == k] @ x[label == k]) for k in range(n_leaf)])
         self.centres /= np.linalg.norm(self.centres, axis=1, keepdims=True) + 1e-12
         self.leaf = {t: int(k) for t, k in zip(fit, label)}
-        counts = [Counter() for _ in range(n_leaf)]
-        total = np.zeros(n_leaf)
+        self._mixtures(docs)
         words = [Counter() for _ in range(n_leaf)]
-        for sents, y in docs:
-            for k, terms in {self.leaf_of(t): t for s in sents if (t := self.terms(s))}.items():
-                counts[k].update(a for a in y if a != NONE)
-                total[k] += 1
-                words[k].update(terms)
-        # how much likelier an area is among the leaf's papers than among all, as shares of one
-        usual = Counter(a for _, y in docs for a in y if a != NONE)
-        self.areas_known = sorted(usual)
-        self.shares = np.zeros((n_leaf, len(self.areas_known)))
-        for k in range(n_leaf):
-            for j, a in enumerate(self.areas_known):
-                over = counts[k][a] / max(total[k], 1) - usual[a] / len(docs)
-                self.shares[k, j] = max(0.0, over) ** 2
-            self.shares[k] /= max(self.shares[k].sum(), 1e-12)
+        for sents, _ in docs:
+            for terms in (t for s in sents if (t := self.terms(s))):
+                words[self.leaf_of(terms)].update(terms)
         everywhere = sum(words, Counter())
         self.labels = [[w for w, _ in sorted(words[k].items(), key=lambda v: (-v[1] * math.log(1 + v[1] / (1 + everywhere[v[0]] - v[1])), v[0]))[:5]] for k in range(n_leaf)]
 
+    def _mixtures(self, docs: list[tuple[list[list[str]], frozenset[str]]], rounds: int = 12) -> None:
+        """Each leaf's mixture over areas, by expectation-maximisation: every label of a paper
+        stems from one of the leaves its statements lie near, or from none of them. A leaf that
+        only stands beside another one thus takes no share in that one's area."""
+        self.areas_known = sorted({a for _, y in docs for a in y if a != NONE})
+        column = {a: j for j, a in enumerate(self.areas_known)}
+        k, m = len(self.centres), len(self.areas_known)
+        cases = []
+        seen = np.full(k, 1.0)
+        for sents, y in docs:
+            near = np.zeros(k)
+            for s in sents:
+                if t := self.terms(s):
+                    near = np.maximum(near, self.nearness(t))
+            seen += near
+            at = np.flatnonzero(near > 0.05)
+            cases.append((at, near[at], [column[a] for a in y if a != NONE]))
+        table = np.full((k, m), 1.0 / max(m, 1))
+        none = np.full(m, 0.02 / max(m, 1))
+        for _ in range(rounds):
+            count, lost = np.zeros((k, m)), np.zeros(m)
+            for at, w, ys in cases:
+                for j in ys:
+                    p = w * table[at, j]
+                    z = float(p.sum()) + none[j]
+                    count[at, j] += p / z
+                    lost[j] += none[j] / z
+            table = count / seen[:, None]
+            none = lost / len(docs)
+        # a share of one is a leaf whose statements nearly always bring the area with them
+        self.shares = np.minimum(table / np.maximum(table.sum(1, keepdims=True), 0.35), 1.0)
+
+    def nearness(self, terms: tuple[str, ...]) -> np.ndarray:
+        """How near a statement lies to every leaf, all together 1."""
+        w = np.maximum(self.centres @ self._vector(terms), 0.0) ** SHARPNESS
+        return w / max(float(w.sum()), 1e-12)
+
     def leaf_of(self, terms: tuple[str, ...]) -> int:
         if terms not in self.leaf:
             self.leaf[terms] = int(np.argmax(self.centres @ self._vector(terms)))
@@ -198,8 +223,7 @@ class SubjectModel:
         """The statement's leaf mixture: the mixtures of the leaves, each weighted by how near
         the statement lies to it. A statement of two areas lies between their leaves."""
         if terms not in self.near:
-            w = np.maximum(self.centres @ self._vector(terms), 0.0) ** SHARPNESS
-            mix = w @ self.shares / max(float(w.sum()), 1e-12)
+            mix = self.nearness(terms) @ self.shares
             self.near[terms] = {a: float(v) for a, v in zip(self.areas_known, mix) if v > 0}
         return self.near[terms]
 

@@ -276,6 +276,23 @@ def test_subjects_on_held_out_labels():
         tp, fp, fn = tp + len(got & y), fp + len(got - y), fn + len(y - got)
     # the labels are wrong in about one case of twenty
     assert tp / (tp + fp) > 0.75 and tp / (tp + fn) > 0.75
+    # the tree decides: with equal leaf mixtures nothing is left of it
+    m.shares, m.near = np.full_like(m.shares, 1 / 12), {}
+    assert sum(len(set(m.areas(s)) & y) for s, y in rows[k:]) < 0.4 * tp
+
+
+def test_a_leaf_beside_another_takes_no_share_in_its_area():
+    place = {"law": "the court heard a bailiff", "education": "pupils sat in the classroom", "finance": "tellers of the bank counted"}
+    rng = random.Random(3)
+    docs = []
+    for _ in range(240):
+        ys = frozenset(rng.sample(sorted(place), rng.choice([1, 2])))
+        docs.append(([place[y].split() for y in ys], ys))
+    m = subjects.SubjectModel().fit(docs)
+    for y, text in place.items():
+        mix = m.subjects(m.terms(text.split()))
+        assert mix[y] > 0.8 and sum(mix.values()) - mix[y] < 0.2, (y, mix)
+    assert {k for k in place if any(set(place[k].split()) & set(t) for t in m.labels)} == set(place)
 
 
 def test_bisecting_kmeans_splits_directions():
