@@ -282,10 +282,11 @@ def test_subjects_on_held_out_labels():
 
 
 def test_a_leaf_beside_another_takes_no_share_in_its_area():
-    place = {"law": "the court heard a bailiff", "education": "pupils sat in the classroom", "finance": "tellers of the bank counted"}
+    place = {"law": "court bailiff", "education": "pupils classroom", "finance": "tellers bank", "media": "editors newsroom", "design": "ateliers milliners",
+             "defense": "sappers drills", "software": "compilers commits", "environment": "herons reeds", "healthcare": "nurses wards", "everyday": "kitchens chores"}
     rng = random.Random(3)
     docs = []
-    for _ in range(240):
+    for _ in range(400):
         ys = frozenset(rng.sample(sorted(place), rng.choice([1, 2])))
         docs.append(([place[y].split() for y in ys], ys))
     m = subjects.SubjectModel().fit(docs)
