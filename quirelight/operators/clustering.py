@@ -98,6 +98,177 @@ def selection_table(df: DataFrame, key: str, vector: str, ks: range, rounds: int
     return G.near_ties(out)
 
 
+# --- k-means in every group at once ---
+
+
+def _with_table(rows: DataFrame, per_group: DataFrame, run: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` on every slice of a group's rows (``g, s``) with the group's one row of
+    ``per_group``. A group of any size is many slices, so no task receives a whole one."""
+    names = [c for c in per_group.columns if c != "g"]
+    table = rows.select("g", "s").distinct().join(per_group, "g").select(F.col("g").alias("_g"), F.col("s").alias("_s"), *names)
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return run(left, right.iloc[0]) if len(left) and len(right) else pd.DataFrame(columns=[c.split(" ")[0] for c in schema.split(", ")])
+
+    return rows.groupBy("g", "s").cogroup(table.groupBy("_g", "_s")).applyInPandas(both, schema)
+
+
+def _packed_sums(parts: DataFrame, gk: str) -> DataFrame:
+    """Sums of the packed arrays ``x`` per group, added in each task before the shuffle."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for g, x in zip(pdf["g"], pdf["x"]):
+                v = np.frombuffer(x)
+                held[g] = held[g] + v if g in held else v
+        yield pd.DataFrame({"g": pd.Series(list(held), dtype=object), "x": pd.Series([v.tobytes() for v in held.values()], dtype=object)})
+
+    schema = f"g {gk}, x binary"
+    return parts.mapInPandas(add, schema).repartition("g").mapInPandas(add, schema)
+
+
+def kmeans_groups(df: DataFrame, group: str, key: str, vector: str, bounds: DataFrame, *, starts: int = 10, rounds: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """k-means on unit vectors in every group, for every ``low <= k <= high`` of ``bounds``
+    (group, ``low``, ``high``), the cheapest of ``starts`` runs each.
+
+    Returns (group, key, ``clusters``, ``cluster``, ``silhouette``), silhouettes by cosine distance
+    (a single row in its cluster has 0), and the selection table (group, ``clusters,
+    average_silhouette, cost, min_cluster_size, max_cluster_size, close_to_best, selected``):
+    of all k close to a group's best score the smallest is selected. Groups with ``high`` under
+    2, or a single row, have k = 1.
+
+    All groups, numbers of clusters and starts run in the same passes: a group is a key, and
+    a pass costs its rows times all centres. Start s takes the rows of least hash with s.
+    """
+    gk, kk = df.schema[group].dataType.simpleString(), df.schema[key].dataType.simpleString()
+    sizes = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    lim = sizes.join(bounds.select(F.col(group).alias("g"), "low", "high"), "g").select("g", "n", F.least(F.col("high"), F.col("n") - 1).cast("int").alias("high"), "low")
+    lim = lim.select("g", "n", F.greatest(F.lit(1), F.when(F.col("high") < 2, 1).otherwise(F.least("low", "high"))).cast("int").alias("low"), F.greatest(F.lit(1), "high").cast("int").alias("high"))
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), unit(F.col(vector)).alias("v")).join(sizes, "g")
+    rows = materialise(rows.select("g", "k", "v", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / GROUP_LIMIT)).cast("int").alias("s")), "k-rows")
+    hashes = F.array(*[F.xxhash64(F.col("k"), F.lit(seed + i)) for i in range(starts)])
+
+    def runs_of(t: pd.Series) -> list[tuple[int, int, int]]:
+        """(k, start, first centre) of every run; centres of all runs stand below each other."""
+        out, at = [], 0
+        for k in range(int(t["low"]), int(t["high"]) + 1):
+            for i in range(starts):
+                out.append((k, i, at))
+                at += k
+        return out
+
+    # the rows of least hash: few per slice, then few per group
+    first = rows.select("g", "k", "v", "s", F.posexplode(hashes).alias("i", "h"))
+    least = W.partitionBy("g", "s", "i").orderBy("h", "k")
+    lead = first.join(lim.select("g", "high"), "g").withColumn("_p", F.row_number().over(least)).where("_p <= high").withColumn("_q", F.row_number().over(W.partitionBy("g", "i").orderBy("h", "k"))).where("_q <= high")
+    lead = lead.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "_q", "v"))).alias("lead"))
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf.to_dict("records"):
+                v = {(r["i"], r["_q"]): np.asarray(r["v"], float) for r in t["lead"]}
+                c = np.stack([v[i, q + 1] for k, i, _ in runs_of(t) for q in range(k)])
+                out.append((t["g"], t["n"], t["low"], t["high"], c.tobytes()))
+            yield pd.DataFrame(out, columns=["g", "n", "low", "high", "c"])
+
+    schema = f"g {gk}, n long, low int, high int, c binary"
+    table = materialise(lim.join(lead, "g").mapInPandas(begin, schema), "k-start")
+
+    def assigned(x: np.ndarray, c: np.ndarray, k: int, at: int) -> tuple[np.ndarray, float]:
+        own = c[at : at + k]
+        d = (own**2).sum(1)[None, :] - 2.0 * x @ own.T
+        lab = np.round(d, 12).argmin(1)
+        return lab, float(len(x) + d[np.arange(len(x)), lab].sum())
+
+    def sums(pdf: pd.DataFrame, t: pd.Series) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy())
+        c = np.frombuffer(t["c"]).reshape(-1, x.shape[1])
+        out = np.zeros((len(c), x.shape[1] + 2))  # summed vectors, count, cost of the run at its first centre
+        for k, _, at in runs_of(t):
+            lab, cost = assigned(x, c, k, at)
+            one = np.zeros((len(x), k))
+            one[np.arange(len(x)), lab] = 1.0
+            out[at : at + k, :-2] = one.T @ x
+            out[at : at + k, -2] = one.sum(0)
+            out[at, -1] = cost
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "x": [out.tobytes()]})
+
+    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            c = []
+            for old, x in zip(pdf["c"], pdf["x"]):
+                a = np.frombuffer(x)
+                width = len(old) // 8
+                m = len(a) - width  # two more columns per centre
+                dims = 2 * width // m
+                a, o = a.reshape(-1, dims + 2), np.frombuffer(old).reshape(-1, dims)
+                c.append(np.where(a[:, -2:-1] > 0, a[:, :-2] / np.maximum(a[:, -2:-1], 1), o).tobytes())
+            yield pd.DataFrame({"g": pdf["g"], "n": pdf["n"], "low": pdf["low"], "high": pdf["high"], "c": c})
+
+    for _ in range(rounds):
+        total = _packed_sums(_with_table(rows, table, sums, f"g {gk}, x binary"), gk)
+        table = materialise(table.join(total, "g").mapInPandas(moved, schema), "k-centres")
+    last = materialise(table.join(_packed_sums(_with_table(rows, table, sums, f"g {gk}, x binary"), gk), "g"), "k-last")
+
+    def label(pdf: pd.DataFrame, t: pd.Series) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy())
+        c, a = np.frombuffer(t["c"]).reshape(-1, x.shape[1]), np.frombuffer(t["x"]).reshape(-1, x.shape[1] + 2)
+        best: dict[int, tuple[float, int]] = {}
+        for k, i, at in runs_of(t):
+            best[k] = min(best.get(k, (np.inf, 0)), (round(a[at, -1], 9), at))
+        out = []
+        for k, (cost, at) in best.items():
+            lab, _ = assigned(x, c, k, at)
+            total, n = a[at : at + k, :-2], a[at : at + k, -2]
+            d = 1.0 - x @ (total / np.maximum(n, 1)[:, None]).T
+            d[:, n == 0] = np.inf
+            r = np.arange(len(x))
+            size = n[lab]
+            inner = (size * d[r, lab] - (1.0 - (x * x).sum(1))) / np.maximum(size - 1, 1)
+            d[r, lab] = np.inf
+            outer = d.min(1)
+            sil = np.where((size == 1) | ~np.isfinite(outer), 0.0, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-12))
+            out.append(pd.DataFrame({"g": pdf["g"].to_numpy(), "k": pdf["k"].to_numpy(), "clusters": k, "cluster": lab.astype(np.int32), "silhouette": sil, "cost": cost}))
+        return pd.concat(out, ignore_index=True)
+
+    done = materialise(_with_table(rows, last, label, f"g {gk}, k {kk}, clusters int, cluster int, silhouette double, cost double"), "k-labels")
+    per = done.groupBy("g", "clusters", "cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("silhouette").alias("s"), F.max("cost").alias("cost"))
+    chosen = per.groupBy("g", "clusters").agg((F.sum("s") / F.sum("m")).alias("average_silhouette"), F.max("cost").alias("cost"), F.min("m").alias("min_cluster_size"), F.max("m").alias("max_cluster_size"))
+    best = F.max("average_silhouette").over(W.partitionBy("g"))
+    chosen = chosen.withColumn("close_to_best", F.col("average_silhouette") >= best - F.greatest(F.lit(0.002), 0.02 * F.abs(best)))
+    chosen = chosen.withColumn("selected", F.col("clusters") == F.min(F.when(F.col("close_to_best"), F.col("clusters"))).over(W.partitionBy("g")))
+    return (done.select(F.col("g").alias(group), F.col("k").alias(key), "clusters", "cluster", "silhouette"),
+            chosen.select(F.col("g").alias(group), "clusters", "average_silhouette", "cost", "min_cluster_size", "max_cluster_size", "close_to_best", "selected"))
+
+
+def soft_groups(df: DataFrame, group: str, key: str, cluster: str, vector: str) -> DataFrame:
+    """(group, key, ``cluster``, ``peripheral``): in every group noise moves to the cluster of
+    the nearest mean by Euclidean distance, equal distances to the least cluster; in a group
+    without clusters all stays."""
+    gk, kk = df.schema[group].dataType.simpleString(), df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(cluster).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    n = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(n, "g").select("g", "k", "c", "v", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / GROUP_LIMIT)).cast("int").alias("s"))
+    named = rows.where("c >= 0").select(F.struct("g", "c").alias("gc"), "v")
+    means = G.mean_by_group(named, "gc", "v").groupBy(F.col("gc.g").alias("g")).agg(F.sort_array(F.collect_list(F.struct(F.col("gc.c").alias("c"), "mean"))).alias("means"))
+
+    def move(pdf: pd.DataFrame, t: pd.Series) -> pd.DataFrame:
+        out = pdf["c"].to_numpy().copy()
+        far = out == -1
+        if far.any():
+            ids, m = np.array([r["c"] for r in t["means"]], int), np.stack([np.asarray(r["mean"], float) for r in t["means"]])
+            x = np.stack(pdf["v"].to_numpy()[far])
+            out[far] = ids[np.round(np.stack([((x - row) ** 2).sum(1) for row in m], 1), 9).argmin(1)]
+        return pd.DataFrame({"g": pdf["g"], "k": pdf["k"], "cluster": out.astype(np.int32), "peripheral": far})
+
+    schema = f"g {gk}, k {kk}, cluster int, peripheral boolean"
+    moved = _with_table(rows, means, move, schema)
+    alone = rows.join(means.select("g"), "g", "left_anti").select("g", "k", F.col("c").alias("cluster"), (F.col("c") == -1).alias("peripheral"))
+    return moved.unionByName(alone).select(F.col("g").alias(group), F.col("k").alias(key), "cluster", "peripheral")
+
+
 # --- density ---
 
 
@@ -363,8 +534,13 @@ def layout(df: DataFrame, key: str, vector: str, dims: int = 2) -> DataFrame:
 
 
 def cluster(df: DataFrame, group: str, key: str, vector: str, method: str, k: int = 6, **options) -> DataFrame:
-    """Dispatch: ``kmeans`` (one group at a time is the caller's), ``dbscan`` or ``hdbscan``
-    with noise moved to the nearest cluster for ``hdbscan``."""
+    """(group, key, ``cluster``) by ``kmeans`` with ``k`` clusters in every group, ``dbscan``, or
+    ``hdbscan`` with noise moved to the nearest cluster."""
     if method == "kmeans":
-        return kmeans(df, key, vector, k)
-    return density_clusters(df, group, key, vector, method, **options)
+        bounds = df.select(group).distinct().select(group, F.lit(k).alias("low"), F.lit(k).alias("high"))
+        return kmeans_groups(df, group, key, vector, bounds)[0].select(group, key, "cluster")
+    found = density_clusters(df, group, key, vector, method, **options)
+    if method == "dbscan":
+        return found
+    found = materialise(found, "density")
+    return soft_groups(df.select(group, key, vector).join(found, [group, key]), group, key, "cluster", vector).select(group, key, "cluster")

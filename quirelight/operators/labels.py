@@ -55,6 +55,26 @@ def suffix(domain: Column, terms: Column, generic: tuple[str, ...] = ("generic",
     return F.when(~F.coalesce(domain, F.lit("")).isin(*generic), domain).otherwise(F.coalesce(F.try_element_at(F.filter(terms, lambda t: F.trim(t) != ""), F.lit(1)), F.lit("")))
 
 
+def facet_suffix(facets: list[Column], terms: Column, generic: tuple[str, ...] = ("generic", "n/a", "")) -> Column:
+    """The first of ``facets`` (in their order: artifact, context, method) that says something;
+    else the first evidence term of several words, else any."""
+    usable = lambda c: F.when(~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*generic), F.trim(c))
+    named = F.filter(terms, lambda t: F.trim(t) != "")
+    several = F.try_element_at(F.filter(named, lambda t: F.trim(t).contains(" ")), F.lit(1))
+    return F.coalesce(*[usable(c) for c in facets], several, F.try_element_at(named, F.lit(1)), F.lit(""))
+
+
+def qualified(df: DataFrame, siblings: list[str], label: str, action: str) -> Column:
+    """Equal labels of siblings qualified by what their papers do: ``Label (action)``."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*siblings, label))
+    return F.when((n > 1) & (F.coalesce(F.col(action), F.lit("")) != ""), F.concat(F.col(label), F.lit(" ("), F.col(action), F.lit(")"))).otherwise(F.col(label))
+
+
+def noise_record(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The record of papers outside the clusters: a fixed label, ``n/a`` in all other texts."""
+    return df.withColumns({c: F.lit(NOISE_LABEL if c == "label" else "n/a") for c in columns})
+
+
 def distinct_labels(df: DataFrame, siblings: list[str], cluster: str, label: str, extra: str) -> DataFrame:
     """Adds ``final_label``: equal labels of siblings get `` around <suffix>``, each suffix
     once; a later cluster with the same suffix keeps the plain label."""

@@ -123,11 +123,24 @@ def title_terms(titles: DataFrame, group: str, title: str, rank: str, first: int
     return r.select(group, F.array_join(clean_labels("p", limit), ", ").alias("terms"))
 
 
-def evidence_terms(df: DataFrame, lists: list[str], limit: int = 4) -> Column:
-    """Merged term lists ordered by (single word, general, length), cleaned to ``limit``."""
+def preferred_phrases(ranked: Column, preferred: tuple[str, ...] = (), context: tuple[str, ...] = (), limit: int = 4) -> Column:
+    """Of a ranked list first the ``preferred`` phrases, the longest first, then phrases of
+    several words, then single words, each in the order of the list; ``context`` phrases,
+    which name the whole field, are left out; cleaned to ``limit``."""
+    low = lambda t: F.lower(F.trim(t))
+    kept = F.filter(ranked, lambda t: ~low(t).isin(*context)) if context else ranked
+    liked = (lambda t: low(t).isin(*preferred)) if preferred else (lambda t: F.lit(False))
+    keyed = F.transform(kept, lambda t, i: F.struct(F.when(liked(t), 0).when(F.size(F.split(F.trim(t), r"\s+")) > 1, 1).otherwise(2).alias("a"), F.when(liked(t), -F.length(t)).otherwise(0).alias("b"), i.alias("i"), t.alias("t")))
+    return clean_labels(F.transform(F.array_sort(keyed), lambda x: x["t"]), limit)
+
+
+def evidence_terms(df: DataFrame, lists: list[str], limit: int = 4, fallback: Column | None = None) -> Column:
+    """Merged term lists ordered by (single word, general, length), cleaned to ``limit``; where
+    nothing is left, the terms of ``fallback`` (an array, such as a title's words)."""
     merged = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists])))
     keyed = F.transform(merged, lambda t: F.struct((F.size(F.split(t, " ")) == 1).cast("int").alias("a"), is_generic(F.lower(t)).cast("int").alias("b"), (-F.length(t)).alias("c"), t.alias("t")))
-    return clean_labels(F.transform(F.array_sort(keyed), lambda s: s["t"]), limit)
+    found = clean_labels(F.transform(F.array_sort(keyed), lambda s: s["t"]), limit)
+    return found if fallback is None else F.when(F.size(found) > 0, found).otherwise(clean_labels(fallback, limit))
 
 
 def dominant(keywords: DataFrame, group: str, keyword: str, most: int = 2) -> DataFrame:

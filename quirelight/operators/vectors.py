@@ -21,6 +21,8 @@ STOP_WORDS = tuple(
 )
 #: At most this many cells a table sent to every task may hold.
 BROADCAST_CELLS = 4_000_000
+#: Terms of a block of sums that one task adds up.
+TERM_BLOCK = 512
 
 
 def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -69,55 +71,76 @@ def tfidf(counts: DataFrame, key: str, vocab: DataFrame, n_records: int) -> Data
     return raw.select(key, "term", (F.col("w") / norm).alias("w"))
 
 
-def svd_features(weights: DataFrame, key: str, dims: int) -> DataFrame:
+def svd_features(weights: DataFrame, key: str, dims: int, *, extra: int = 12, rounds: int = 12, seed: int = 42) -> DataFrame:
     """(key, ``vector``): records projected on the leading right singular vectors of the
     TF-IDF matrix, unit length, signs fixed so that each component's largest loading is
     positive.
 
-    The Gram matrix of the vocabulary is summed per partition and reduced over blocks of
-    its rows; its size depends on the vocabulary limit, not on the number of records. The
-    basis is broadcast only below ``BROADCAST_CELLS`` cells (else the vocabulary is too
-    large for this method and a ValueError says so).
+    Randomised subspace iteration (Halko, Martinsson and Tropp) on ``dims + extra`` columns:
+    a round multiplies every record's own terms with the basis, so the cost is the non-zero
+    weights times the columns. A task adds up its records and sends one block of sums for
+    every ``TERM_BLOCK`` terms. The basis has vocabulary times columns cells, whatever the
+    number of records; over ``BROADCAST_CELLS`` cells a ValueError says so. With a vocabulary
+    of ``dims + extra`` terms or fewer the result is exact.
     """
     spark = weights.sparkSession
-    terms = sorted(r[0] for r in weights.select("term").distinct().limit(BROADCAST_CELLS // 1000 + 1).collect())
+    terms = sorted(r[0] for r in weights.select("term").distinct().limit(BROADCAST_CELLS // (dims + extra) + 1).collect())
     v = len(terms)
-    if v * v > BROADCAST_CELLS * 4:
-        raise ValueError(f"{v} terms are too many: limit the vocabulary first")
-    at = {t: i for i, t in enumerate(terms)}
-    rows = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("t"))
-    held = spark.sparkContext.broadcast(at)
-
-    def dense(cells) -> np.ndarray:
-        x = np.zeros((len(cells), len(held.value)))
-        for i, cs in enumerate(cells):
-            for c in cs:
-                x[i, held.value[c["term"]]] = c["w"]
-        return x
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = np.zeros((len(held.value), len(held.value)))
-        for pdf in batches:
-            x = dense(list(pdf["t"]))
-            g += x.T @ x
-        yield pd.DataFrame({"i": np.arange(len(g)), "row": list(g)})
-
-    parts = rows.select("t").mapInPandas(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).where("x != 0")
-    g = np.zeros((v, v))
-    for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).toLocalIterator():
-        g[r["i"], r["j"]] = r["x"]
-    val, vec = np.linalg.eigh(g)
-    basis = vec[:, np.argsort(-val)[: max(1, min(dims, v))]]
+    width = min(v, dims + extra)
+    if v * (dims + extra) > BROADCAST_CELLS:
+        raise ValueError(f"{v} terms are too many for {dims} dimensions: limit the vocabulary first")
+    schema = f"`{key}` {weights.schema[key].dataType.simpleString()}, vector array<double>"
+    if v == 0:
+        return spark.createDataFrame([], schema)
+    index = F.broadcast(spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int"))
+    rows = materialise(weights.join(index, "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("t")).select(key, F.col("t.i").alias("i"), F.col("t.w").alias("w")), "sparse-rows")
+
+    def product(pdf: pd.DataFrame, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The records' products with the basis, and their cells (record, term, weight)."""
+        width_ = np.array([len(x) for x in pdf["i"]])
+        i, w = np.concatenate([np.asarray(x, np.int64) for x in pdf["i"]]), np.concatenate([np.asarray(x, np.float64) for x in pdf["w"]])
+        start = np.r_[0, np.cumsum(width_)[:-1]]
+        return np.add.reduceat(w[:, None] * basis[i], start, axis=0), np.repeat(np.arange(len(pdf)), width_), i, w
+
+    def multiply(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            basis = shared.value
+            out = np.zeros_like(basis)
+            for pdf in batches:
+                for a in range(0, len(pdf), 1000):
+                    y, row, i, w = product(pdf.iloc[a : a + 1000], basis)
+                    order = np.argsort(i, kind="stable")
+                    at = i[order]
+                    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    out[at[first]] += np.add.reduceat(w[order, None] * y[row[order]], first, axis=0)
+            blocks = range(0, len(out), TERM_BLOCK)
+            yield pd.DataFrame({"b": [b // TERM_BLOCK for b in blocks], "x": [out[b : b + TERM_BLOCK].tobytes() for b in blocks]})
+
+        return run
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf["x"])
+        return pd.DataFrame({"b": pdf["b"].iloc[:1], "x": [total.tobytes()]})
+
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(v, width)))
+    for n in range(rounds + 1 if width < v else 2):
+        held = spark.sparkContext.broadcast(basis)
+        blocks = rows.select("i", "w").mapInPandas(multiply(held), "b int, x binary").groupBy("b").applyInPandas(add, "b int, x binary").orderBy("b").collect()
+        image = np.concatenate([np.frombuffer(bytes(r["x"])) for r in blocks]).reshape(v, width)
+        held.unpersist()
+        last, basis = basis, np.linalg.qr(image)[0]
+    val, vec = np.linalg.eigh((last.T @ image + image.T @ last) / 2)
+    basis = last @ vec[:, np.argsort(-val)[: max(1, min(dims, width))]]
     basis *= np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])
     shared = spark.sparkContext.broadcast(basis)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            y = dense(list(pdf["t"])) @ shared.value
+            y = product(pdf, shared.value)[0] if len(pdf) else np.zeros((0, 1))
             y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-12
             yield pd.DataFrame({key: pdf[key], "vector": list(y)})
 
-    return rows.mapInPandas(project, f"`{key}` {weights.schema[key].dataType.simpleString()}, vector array<double>")
+    return rows.mapInPandas(project, schema)
 
 
 def unit(v: Column) -> Column:

@@ -1,6 +1,7 @@
 """Clustering and geometry on small vectors with known answers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quirelight.operators import clustering as K
@@ -122,3 +123,47 @@ def test_ranks_by_range_equal_ranks_by_window(spark, blobs, monkeypatch):
     want = sorted(map(tuple, G.with_geometry(blobs, "id", "label", "v").select("id", "representative_rank", "medoid_rank").collect()))
     monkeypatch.setattr(G, "RANK_LIMIT", 5)
     assert sorted(map(tuple, G.with_geometry(blobs, "id", "label", "v").select("id", "representative_rank", "medoid_rank").collect())) == want
+
+
+def test_kmeans_in_every_group(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP_LIMIT", 25)  # several slices a group
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, n in (("a", 2), ("b", 3), ("c", 4)):
+        for c in range(n):
+            rows += [(g, f"{g}{c}-{i}", c, [float(x) for x in np.eye(6)[c] + rng.normal(0, 0.05, 6)]) for i in range(15)]
+    rows += [("one", "x", 0, [1.0] * 6), ("two", "y", 0, [1.0] * 6), ("two", "z", 0, [1.0] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "g string, id string, label int, v array<double>")
+    bounds = spark.createDataFrame([(g, 2, 5) for g in ("a", "b", "c", "one", "two")], "g string, low int, high int")
+    labels, table = K.kmeans_groups(df, "g", "id", "v", bounds, rounds=6)
+    picked = {r["g"]: r["clusters"] for r in table.where("selected").collect()}
+    assert picked == {"a": 2, "b": 3, "c": 4, "one": 1, "two": 1}
+    got = labels.join(table.where("selected").select("g", "clusters"), ["g", "clusters"]).join(df.select("id", "label", "v"), "id").toPandas()
+    for _, x in got.groupby("g"):
+        assert x.groupby("label").cluster.nunique().max() == 1 and x.cluster.nunique() == x.label.nunique()
+    one = got[got.g == "b"]
+    want = {r["id"]: r["silhouette"] for r in G.silhouettes(spark.createDataFrame(one[["id", "cluster", "v"]]), "id", "cluster", "v").collect()}
+    assert all(abs(want[i] - s) < 1e-9 for i, s in zip(one.id, one.silhouette))
+
+
+def test_noise_moves_within_its_group(spark):
+    rows = [("a", "1", 0, [0.0, 0.0]), ("a", "2", 1, [4.0, 0.0]), ("a", "3", -1, [3.0, 0.0]), ("b", "4", -1, [0.0, 1.0]), ("b", "5", -1, [0.0, 2.0]), ("c", "6", 2, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "g string, id string, cluster int, v array<double>")
+    got = {r["id"]: (r["cluster"], r["peripheral"]) for r in K.soft_groups(df, "g", "id", "cluster", "v").collect()}
+    assert got == {"1": (0, False), "2": (1, False), "3": (1, True), "4": (-1, True), "5": (-1, True), "6": (2, False)}
+
+
+def test_svd_of_eight_thousand_terms(spark):
+    rng = np.random.default_rng(1)
+    x = np.zeros((150, 8000))
+    for i in range(150):
+        x[i, rng.choice(8000, 80, replace=False)] = rng.random(80)
+        x[i, (i % 5) * 40 : (i % 5) * 40 + 40] += 1.0
+    x[0, x.sum(0) == 0] = 0.01  # every term occurs
+    cells = [(f"r{i:03}", f"t{j:04}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    df = spark.createDataFrame(pd.DataFrame(cells, columns=["k", "term", "w"]))
+    got = {r["k"]: np.array(r["vector"]) for r in V.svd_features(df, "k", 5).collect()}
+    y = x @ np.linalg.svd(x, full_matrices=False)[2][:5].T
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    mine = np.stack([got[f"r{i:03}"] for i in range(150)])
+    assert np.allclose(mine @ mine.T, y @ y.T, atol=1e-3)

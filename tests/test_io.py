@@ -52,13 +52,25 @@ def test_cache_and_embedding(spark, tmp_path):
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
-    o = P.run(spark, spark.read.parquet(f"{DIR}/final_advancing_list.parquet"), spark.read.parquet(f"{DIR}/build_fulltext_context.parquet"), P.Options(min_papers=14, features=150, dims=10, k_max=3))
+    o = P.run(spark, spark.read.parquet(f"{DIR}/final_advancing_list.parquet"), spark.read.parquet(f"{DIR}/build_fulltext_context.parquet"), P.Options(min_papers=14, features=150, dims=10, k_max=3, starts=2))
     P.write(o, str(tmp_path / "out"))
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert read("neighbours").where("place > 5 or query = neighbour").count() == 0 and read("neighbours").count() > 0
+    assert {"clusters", "average_silhouette", "selected"} <= set(read("selection").columns) and read("selection").where("selected").count() >= 1
+    assert read("evidence").columns == ["g", "place", "id", "paper_id", "paragraph_index", "sentences", "score"]
+    report = [r[0] for r in spark.read.text(str(tmp_path / "out" / "report")).collect()]
+    assert report[0].startswith("# Clusters") and any("too_few_papers" in x for x in report) and any("Read first" in x for x in report)
+    assert spark.read.json(str(tmp_path / "out" / "metadata")).first()["min_papers_to_cluster"] == 14
+    fresh = P.refresh_payload(read("payload"), spark.createDataFrame([(read("payload").first()["part"], 0, "New label", 7)], "part string, cluster int, label string, n int"))
+    assert fresh.where("payload like '%New label%'").count() >= 1 and fresh.count() == read("payload").count()
     rows = spark.read.parquet(str(tmp_path / "out" / "papers"))
     assert {r[0] for r in rows.select("cluster_status").distinct().collect()} == {"clustered", "too_few_papers"}
     assert rows.where("cluster = -1 and is_representative_top3").count() == 0
     labels = spark.read.parquet(str(tmp_path / "out" / "clusters"))
     assert labels.where("label is null or summary is null").count() == 0 and labels.count() >= 2
+    assert labels.where("cluster >= 0 and distinguishing_evidence_terms = ''").count() == 0
+    assert labels.where("cluster >= 0 and (faithfulness is null or faithfulness < 0 or faithfulness > 1)").count() == 0
+    assert rows.where("cluster >= 0 and (umap_x is null or lda_topic is null)").count() == 0
     assert P.refresh(rows.select("keyword", "cluster_method", "cluster", "paper_id"), labels).count() == rows.count()
 
 
