@@ -10,7 +10,7 @@ from quirelight.functions.fuzzy import same_title
 from quirelight.operators import coding as Y
 from quirelight.operators import relational as R
 from quirelight.queries.base import KEYWORDS, PAPERS, clusters, papers
-from quirelight.queries.coding import _CON, LEXICON, real
+from quirelight.queries.coding import _CON, _PAT, LEXICON, real
 from quirelight.session import scratch_path, table
 from quirelight.sources import readers, writers
 
@@ -48,9 +48,10 @@ def embedded_payload(s, d):
     """A page per event with its properties embedded, and the properties read back from it."""
     e = table(s, d, "events").select("event_id", "props")
     page = F.concat(F.lit('<html><script type="application/json" id="payload">'), F.col("props"), F.lit("</script></html>"))
-    keys = F.json_object_keys("props")
-    back = F.regexp_extract(page, r'(?s)<script[^>]*id="payload"[^>]*>(.*?)</script>', 1)
-    return e.select("event_id", F.array_join(F.array_sort(keys), ",").alias("keys"), (back == F.col("props")).alias("same"))
+    kind = "map<string,string>"
+    back = e.withColumns({"got": readers.embedded_json(page, "payload", kind), "want": F.from_json("props", kind)})
+    same = F.sort_array(F.map_entries("got")) == F.sort_array(F.map_entries("want"))
+    return back.select("event_id", F.array_join(F.array_sort(F.map_keys("got")), ",").alias("keys"), same.alias("same"))
 
 
 def explorer(s, d):
@@ -98,7 +99,7 @@ QUERIES = {
     "matching_titles": (matching_titles, None),
     "display_titles": (display_titles, _SHOW),
     "contribution_texts": (contribution_texts, f"SELECT g, CASE contribution {_DEF} END AS definition, support || ' of ' || n || CASE WHEN n = 1 THEN ' paper' ELSE ' papers' END AS support_text FROM (WITH {_CON} SELECT * FROM co)"),
-    "cluster_claims": (claims, None),
+    "cluster_claims": (claims, f"SELECT g, paper_id, 'Design Paper that offers a ' || label || '.' AS claim FROM ({_PAT}) WHERE place = 1"),
     "first_domain": (lambda s, d: clusters(s, d).select("run_id", "paper_id", D.first_value("application_domains", "distinguishing_evidence_terms", "cluster_theme_terms").alias("first")).distinct(),
                      "SELECT DISTINCT run_id, paper_id, coalesce(nullif(trim(string_split(coalesce(application_domains, ''), ',')[1]), ''), nullif(trim(string_split(coalesce(distinguishing_evidence_terms, ''), ',')[1]), ''), nullif(trim(string_split(coalesce(cluster_theme_terms, ''), ',')[1]), ''), '') AS first FROM clustering_results"),
     "csv_round_trip": (csv_round_trip, f"WITH {PAPERS} SELECT paper_id, title, abstract, keyword, coalesce(year, '') AS year FROM papers"),

@@ -38,11 +38,11 @@ def paragraph_scores(s, d):
 
 
 def top_context(s, d):
-    return C.top_context(contexts(s, d), "extracted_context", C.CONTEXT_TERMS, 3, 300).select("paper_id", "context", "matched")
+    return C.top_context(contexts(s, d), "extracted_context").select("paper_id", "context", "matched")
 
 
 def keyword_context(s, d):
-    return C.top_context(contexts(s, d), "extracted_context", C.keyword_terms("Design patterns"), 2).select("paper_id", "context", "matched")
+    return C.top_context(contexts(s, d), "extracted_context", C.keyword_terms("Design patterns")).select("paper_id", "context", "matched")
 
 
 def _top_sql(terms, most: int, cut: int) -> str:
@@ -54,14 +54,14 @@ CAST(coalesce((SELECT max(m) FROM pick WHERE pick.paper_id = c.paper_id), 0) AS
 
 
 def discussion(s, d):
-    found, parts = C.discussion(X.blocks(X.text("extracted_context")), 3)
+    found, parts = C.discussion(X.blocks(X.text("extracted_context")))
     return contexts(s, d).select("paper_id", F.coalesce(found, F.lit(False)).alias("found"), F.coalesce(F.size(parts), F.lit(0)).alias("paragraphs"), F.array_join(parts, "\n\n").alias("discussion"))
 
 
 _NAMES = "|".join(X.DISCUSSION_HEADINGS)
 _DISC = f"""WITH {CONTEXTS}, {_PARA}, h AS (SELECT paper_id, min(i) AS a0 FROM para WHERE regexp_matches(lower(trim(string_split(p, chr(10))[1])), '^(\\d+(\\.\\d+)*\\.?\\s+)?({_NAMES})\\s*$')
   OR regexp_matches(lower(trim(string_split(p, chr(10))[1])), '^discussions?\\b') GROUP BY 1),
-k AS (SELECT para.paper_id, count(*) AS n, string_agg(p, chr(10) || chr(10) ORDER BY i) AS t FROM para JOIN h ON para.paper_id = h.paper_id AND i BETWEEN a0 AND a0 + 2 GROUP BY 1)
+k AS (SELECT para.paper_id, count(*) AS n, string_agg(p, chr(10) || chr(10) ORDER BY i) AS t FROM para JOIN h ON para.paper_id = h.paper_id AND i BETWEEN a0 AND a0 + 7 GROUP BY 1)
 SELECT c.paper_id, k.n IS NOT NULL AS found, CAST(coalesce(k.n, 0) AS INTEGER) AS paragraphs, coalesce(k.t, '') AS discussion FROM contexts c LEFT JOIN k USING (paper_id)"""
 
 
@@ -77,14 +77,14 @@ SELECT c.paper_id, coalesce((SELECT string_agg('- ' || rtrim(substr(sn, 1, 260))
 def _viewed(s, d):
     p = papers(s, d)
     c = contexts(s, d).select("paper_id", F.coalesce("extracted_context", F.lit("")).alias("extracted_context"), F.coalesce("discussion_summary", F.lit("")).alias("discussion_summary"))
-    return p.join(C.top_context(c, "extracted_context", C.CONTEXT_TERMS, 2, 200).select("paper_id", "context", "discussion_summary"), "paper_id", "left")
+    return p.join(C.top_context(c, "extracted_context").select("paper_id", "context", "discussion_summary"), "paper_id", "left")
 
 
 def overall_view(s, d):
     return _viewed(s, d).select("paper_id", C.overall_view("Design theory").alias("view"))
 
 
-_VIEWED = f"""WITH {PAPERS}, tc AS ({_top_sql(C.CONTEXT_TERMS, 2, 200)}), {CONTEXTS}, v AS (SELECT papers.*, {txt('tc.context')} AS context, {txt('contexts.discussion_summary')} AS discussion_summary FROM papers LEFT JOIN tc USING (paper_id) LEFT JOIN contexts USING (paper_id))"""
+_VIEWED = f"""WITH {PAPERS}, tc AS ({_top_sql(C.CONTEXT_TERMS, 10, 1800)}), {CONTEXTS}, v AS (SELECT papers.*, {txt('tc.context')} AS context, {txt('contexts.discussion_summary')} AS discussion_summary FROM papers LEFT JOIN tc USING (paper_id) LEFT JOIN contexts USING (paper_id))"""
 _OVER = f"""{_VIEWED} SELECT paper_id, concat_ws('. ', nullif(title, ''), nullif(abstract, ''), nullif(context, ''), nullif(discussion_summary, ''), 'Design theory', nullif(keyword, ''), nullif({txt('venue')}, ''), nullif({txt('year')}, '')) AS view FROM v"""
 
 
@@ -144,6 +144,12 @@ def paper_bigrams(s, d):
 
 _BIG = f"WITH {PAPERS}, {TOKENS} SELECT paper_id, term, count(*) AS n FROM (SELECT paper_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM tok) GROUP BY 1, 2"
 
+# a fold over the sentences of a paragraph: a chunk grows until the next sentence is too much
+_PACK = """WITH {ctx}, p AS (SELECT paper_id, trim(_p, ' ' || chr(9) || chr(10) || chr(13)) AS p, _i FROM (SELECT paper_id, unnest(_l) AS _p, generate_subscripts(_l, 1) AS _i FROM (SELECT paper_id, string_split(regexp_replace(extracted_context, '\\n\\s*\\n', chr(1), 'g'), chr(1)) AS _l FROM contexts WHERE extracted_context IS NOT NULL))),
+q AS (SELECT paper_id, _i, CASE WHEN length(p) <= {most} THEN [p] ELSE list_filter(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') END AS l FROM p WHERE p <> ''),
+c AS (SELECT paper_id, _i, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + 1 + length(x[1]) <= {most} THEN list_concat(acc[1:len(acc) - 1], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[])) AS l FROM q),
+f AS (SELECT paper_id, flatten(list(l ORDER BY _i)) AS l FROM c GROUP BY 1) SELECT paper_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS chunk_no, unnest(l) AS chunk FROM f"""
+
 QUERIES = {
     "space_cleanup": (lambda s, d: contexts(s, d).where("extracted_context is not null").select("paper_id", X.clean_space(F.col("extracted_context")).alias("clean")), f"WITH {CONTEXTS} SELECT paper_id, {_CLEAN} AS clean FROM contexts WHERE extracted_context IS NOT NULL"),
     "context_paragraphs": (context_paragraphs, f"WITH {CONTEXTS}, {_PARA} SELECT paper_id, CAST(i AS INTEGER) AS i, p AS paragraph FROM para"),
@@ -151,14 +157,14 @@ QUERIES = {
 e AS (SELECT paper_id, {sq('_p')} AS p, _i FROM (SELECT paper_id, unnest(_l) AS _p, generate_subscripts(_l, 1) AS _i FROM l))
 SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY _i) AS INTEGER) AS i, p AS paragraph FROM e WHERE length(p) >= 80"""),
     "paragraph_scores": (paragraph_scores, f"WITH {CONTEXTS}, {_PARA} SELECT paper_id, CAST(i AS INTEGER) AS i, CAST({relevance_sql('low', C.CONTEXT_TERMS)} AS INTEGER) AS score FROM (SELECT paper_id, i, {_low('p')} AS low FROM para)"),
-    "top_context": (top_context, _top_sql(C.CONTEXT_TERMS, 3, 300)),
-    "keyword_context": (keyword_context, _top_sql(C.keyword_terms("Design patterns"), 2, 1800)),
+    "top_context": (top_context, _top_sql(C.CONTEXT_TERMS, 10, 1800)),
+    "keyword_context": (keyword_context, _top_sql(C.keyword_terms("Design patterns"), 10, 1800)),
     "discussion_section": (discussion, _DISC),
     "lead_summary": (lead_summary, _LEAD),
     "overall_view": (overall_view, _OVER),
     "facet_terms": (facet_terms, _FACET),
     "view_texts": (view_texts, _VIEWS),
-    "text_chunks": (lambda s, d: C.chunks(contexts(s, d), "paper_id", "extracted_context", 600), None),
+    "text_chunks": (lambda s, d: C.chunks(contexts(s, d), "paper_id", "extracted_context", 600), _PACK.format(ctx=CONTEXTS, most=600)),
     "evidence_sentences": (evidence_sentences, _ESENT),
     "paper_tokens": (paper_tokens, _TOK),
     "paper_bigrams": (paper_bigrams, _BIG),

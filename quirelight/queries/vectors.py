@@ -18,22 +18,22 @@ def _counts(s, d):
 
 
 def vocab(s, d):
-    return V.vocabulary(_counts(s, d)[1], 2, 500)
+    return V.vocabulary(_counts(s, d)[1], 2, 8000)
 
 
 def tfidf(s, d):
     p, c = _counts(s, d)
-    return V.tfidf(c, "paper_id", V.vocabulary(c, 2, 500), p.count()).select("paper_id", "term", F.round("w", 6).alias("w"))
+    return V.tfidf(c, "paper_id", V.vocabulary(c, 2, 8000), p.count()).select("paper_id", "term", F.round("w", 6).alias("w"))
 
 
 _CNT = f"{TOKENS}, cnt AS (SELECT paper_id, term, count(*) AS n FROM (SELECT paper_id, unnest(t) AS term FROM tok) GROUP BY 1, 2)"
-_VOC = "voc AS (SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500)"
+_VOC = "voc AS (SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 8000)"
 
 
 def svd(s, d):
     p, c = _counts(s, d)
-    w = V.tfidf(c, "paper_id", V.vocabulary(c, 2, 300), p.count())
-    return V.svd_features(w, "paper_id", 8)
+    w = V.tfidf(c, "paper_id", V.vocabulary(c, 2, 8000), p.count())
+    return V.svd_features(w, "paper_id", 50)
 
 
 def emb(s, d):
@@ -104,11 +104,29 @@ def _kmeans_sql(k: int, rounds: int) -> str:
     return f"{q} SELECT vec_id, CAST(k AS INTEGER) AS cluster FROM a{rounds}"
 
 
+def kmeans_parts(s, d):
+    """k-means in two parts of the table at once, the number of clusters chosen for each."""
+    e = emb(s, d).withColumn("part", F.col("label") % 2)
+    bounds = e.select("part").distinct().select("part", F.lit(2).alias("low"), F.lit(5).alias("high"))
+    labels, table_ = K.kmeans_groups(e, "part", "vec_id", "embedding", bounds)
+    return labels.join(table_.where("selected").select("part", "clusters"), ["part", "clusters"]).select("part", "vec_id", "clusters", "cluster", F.round("silhouette", 6).alias("silhouette"))
+
+
 def near_ties(s, d):
     t = K.selection_table(emb(s, d), "vec_id", "embedding", range(2, 6), 3)
     return t.select("k", F.round("average_silhouette", 6).alias("average_silhouette"), "close_to_best", "selected", "cluster_sizes")
 
 
+_LABELLED = " UNION ALL ".join(f"SELECT {k} AS k, vec_id, cluster FROM ({_kmeans_sql(k, 3)})" for k in range(2, 6))
+_TIES = f"""WITH {_V}, lu AS (SELECT k, vec_id, cluster, u FROM ({_LABELLED}) JOIN u USING (vec_id)),
+m AS (SELECT k, cluster, list(x ORDER BY i) AS mean, max(n) AS n FROM (SELECT k, cluster, i, avg(x) AS x, count(*) AS n FROM (SELECT k, cluster, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM lu) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+p AS (SELECT lu.k, vec_id, lu.cluster AS own, m.cluster AS c, n, 1 - list_dot_product(u, mean) AS d, list_dot_product(u, u) AS uu FROM lu JOIN m USING (k)),
+a AS (SELECT k, vec_id, own, max(CASE WHEN c = own THEN n END) AS n, max(CASE WHEN c = own THEN (n * d - (1 - uu)) / greatest(n - 1, 1) END) AS a, min(CASE WHEN c <> own THEN d END) AS b FROM p GROUP BY 1, 2, 3),
+t AS (SELECT k, own, count(*) AS n, sum(CASE WHEN n = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS s FROM a GROUP BY 1, 2),
+r AS (SELECT k, sum(s) / sum(n) AS v, string_agg(own || ':' || n, '; ' ORDER BY own) AS cluster_sizes FROM t GROUP BY 1), q AS (SELECT *, v >= max(v) OVER () - greatest(0.002, 0.02 * abs(max(v) OVER ())) AS close_to_best FROM r)
+SELECT CAST(k AS INTEGER) AS k, round(v, 6) AS average_silhouette, close_to_best, k = min(CASE WHEN close_to_best THEN k END) OVER () AS selected, cluster_sizes FROM q"""
+
+
 def noise_assigned(s, d):
     e = emb(s, d).withColumn("c", F.when(F.col("vec_id") % 9 == 0, -1).otherwise(F.col("label")))
     return G.nearest_cluster(e, "vec_id", "c", "embedding")
@@ -155,7 +173,8 @@ SELECT CAST(count(*) AS INTEGER) AS k, round(sum(s) / sum(n), 6) AS average_silh
 CAST(sum(neg) AS BIGINT) AS negative_silhouette_count, round(sum(neg) / sum(n), 6) AS negative_silhouette_ratio FROM p"""),
     "kmeans_fixed": (kmeans_fixed, _kmeans_sql(4, 3)),
     "kmeans": (lambda s, d: K.kmeans(emb(s, d), "vec_id", "embedding", 6), None),
-    "selection_table": (near_ties, None),
+    "kmeans_groups": (kmeans_parts, None),
+    "selection_table": (near_ties, _TIES),
     "noise_assigned": (noise_assigned, _NOISE),
     "dbscan": (_density("dbscan", eps=0.35), _DBSCAN),
     "dbscan_auto": (_density("dbscan"), None),
