@@ -10,8 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelight.operators.geometry import ranks
 from quirelight.session import materialise
 
+#: Share of its cap that a source's mean repetition reaches at most where no size is asked for:
+#: a Poisson variable cut off at the cap has the cap as its mean only in the limit.
+NEAR_CAP = 0.9
+#: Steps of this size, the golden ratio's, fill (0, 1) evenly however many are made.
+STEP = 0.6180339887498949
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits words before byte pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -74,7 +80,7 @@ def plan_rates(sizes: dict[str, int], targets: list[tuple[str, float, int]], tot
     """(source, rate, mean repetitions, cap) per source with tokens.
 
     ``total`` is the size wanted in tokens; left out, it is the largest at which no source
-    needs more than its cap, so the targets can be met. Shares of sources without tokens
+    needs more than ``NEAR_CAP`` of its cap, so the targets can be met. Shares of sources without tokens
     are spread over the others in proportion.
     """
     live = [(s, w, c) for s, w, c in targets if sizes.get(s, 0) > 0 and w > 0 and c > 0]
@@ -82,7 +88,7 @@ def plan_rates(sizes: dict[str, int], targets: list[tuple[str, float, int]], tot
     if not live:
         return []
     if total is None:
-        total = min(c * sizes[s] * whole / w for s, w, c in live)
+        total = min(NEAR_CAP * c * sizes[s] * whole / w for s, w, c in live)
     out = []
     for s, w, c in live:
         mean = min(float(c), total * w / whole / sizes[s])
@@ -106,7 +112,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, total: float | No
     """The mixture: one row per copy (``doc_id, source, copy, n_tokens, place, text``).
 
     Each document is repeated as often as a Poisson distribution says, inverted at a number
-    in (0, 1) that is a hash of ``doc_id`` and ``seed``; its mean is the source's target
+    in (0, 1): even steps from a hash of ``seed`` and the source, one for each document in
+    order of length. Every document's number is uniform over the seeds, but documents of like
+    length get numbers spread over (0, 1), so a source's tokens come close to their mean even
+    where few documents are drawn. Its mean is the source's target
     repetition rate and it is cut off at ``max_repeats`` (the rate is raised so that the mean
     holds in spite of the cut). ``place`` is a hash by which the rows are globally shuffled.
     Same input and seed, same mixture, whatever the partitioning. A source without documents
@@ -117,7 +126,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, total: float | No
     """
     spark = docs.sparkSession
     wanted = [(r["s"], float(r["w"]), int(r["c"])) for r in targets.where("source is not null").groupBy(clean_source(F.col("source")).alias("s")).agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("c")).orderBy("s").collect()]
-    counted = materialise(counted_documents(docs, targets, tokenizer).select("doc_id", "source", "n_tokens", "text"), "counted")
+    counted = materialise(counted_documents(docs, targets, tokenizer).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "n_tokens", "text"), "counted")
     sizes = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     rates = plan_rates(sizes, wanted, total)
     # inverse distribution function as thresholds: copies = how many of them lie at or below u
@@ -130,10 +139,14 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, total: float | No
             p = p * lam / (k + 1) if lam < 700 else 0.0
         steps.append((s, cdf))
     plan = spark.createDataFrame(steps, "source string, _cdf array<double>")
-    u = (F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    largest = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # lengths only: no text moves before it is known to be taken
+    ranked = ranks(counted.select("_row", "doc_id", "source", "n_tokens"), "source", {"_p": ["n_tokens", "doc_id", "_row"]}, largest)
+    offset = (F.xxhash64(F.col("source"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    at = F.col("_p") * F.lit(STEP) + offset
     # one row per source of the target table
-    copies = counted.join(F.broadcast(plan), "source").withColumn("_u", u).withColumn("_n", F.expr("size(filter(_cdf, x -> x <= _u))"))
-    rows = copies.where("_n > 0").withColumn("copy", F.explode(F.expr("sequence(1, _n)")))
+    drawn = ranked.join(F.broadcast(plan), "source").withColumn("_u", at - F.floor(at)).withColumn("_n", F.expr("size(filter(_cdf, x -> x <= _u))")).where("_n > 0").select("_row", "_n")
+    rows = counted.join(drawn, "_row").withColumn("copy", F.explode(F.expr("sequence(1, _n)")))
     placed = rows.withColumn("place", F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(seed + 1)))
     return placed.select("doc_id", "source", "copy", "n_tokens", "place", "text").orderBy("place")
 
