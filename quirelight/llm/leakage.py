@@ -22,7 +22,9 @@ MISMATCH = 4
 #: Up to this many (mask, window) entries the items' index is copied to every task.
 INDEX_LIMIT = 2_000_000
 
-_CJK = re.compile(r"([぀-ヿ㐀-鿿])")
+# scripts without spaces: every character is a word
+_UNSPACED = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff"
+_CJK = re.compile(f"([{_UNSPACED}])")
 
 
 class _DropMarks(dict):
@@ -168,7 +170,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id",
     i = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("_i"), F.col(item_text).alias("_x")).distinct()
     kd, ki = d.schema["_d"].dataType.simpleString(), i.schema["_i"].dataType.simpleString()
     schema = f"_i {ki}, _d {kd}, words int, agree int, item_words int"
-    entries = (i.select(F.sum(F.size(F.split("_x", r"\s+")))).first()[0] or 0) * len(MASKS)
+    # at most one window a word and mask; in scripts without spaces a character is a word
+    size = F.when(F.col("_x").rlike(f"[{_UNSPACED}]"), F.length("_x")).otherwise(F.size(F.split("_x", r"\s+")))
+    entries = (i.select(F.sum(size)).first()[0] or 0) * len(MASKS)
     if entries <= index_limit:
         index = ItemIndex([(r["_i"], r["_x"]) for r in i.orderBy("_i", "_x").collect()])
         shared = spark.sparkContext.broadcast(index)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelight.llm.papers import one_row_per_paper
-from quirelight.session import is_blank, materialise
+from quirelight.session import forget, is_blank, materialise
 
 #: Words of a k-mer, k-mers of a sketch that keep their text order, sketches of a record.
 K, KEEP, SKETCHES = 3, 2, 64
@@ -22,6 +22,8 @@ K, KEEP, SKETCHES = 3, 2, 64
 FREQUENT = 30
 #: The list of frequent k-mers never holds more entries than this.
 FREQUENT_LIMIT = 1_000_000
+#: Classes that may share a sketch; a sketch of more is left to the exact prefixes.
+CROWD = 64
 
 _RUN = re.compile(r"[^\W_]+")
 _U64 = np.uint64
@@ -157,9 +159,8 @@ def near_duplicates(records: DataFrame, key: str, text: str, *, threshold: float
     are frequent. A candidate pair is verified by banded alignment over the full texts and
     kept on its exact similarity. Exact copies are folded
     first, so a text that a third of the records share is one row from there on. A sketch
-    shared by s classes would give s*s/2 pairs; the join therefore pairs each class only
-    with classes that share a sketch, sketches being made of rare k-mers, and duplicates of
-    a pair are removed before any text is fetched.
+    shared by more than ``CROWD`` classes pairs none: the prefixes, which are exact, find its
+    pairs. Duplicates of a pair are removed before any text is fetched.
     """
     src = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
 
@@ -215,11 +216,14 @@ def near_duplicates(records: DataFrame, key: str, text: str, *, threshold: float
             yield pd.DataFrame({"class_id": ids, "sketch": np.concatenate(out) if out else np.zeros(0, np.int64)})
 
     marks = materialise(texts.mapInPandas(sketch, "class_id string, sketch long"), "sketches")
-    shared = marks.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch")
-    marks = marks.join(shared, "sketch", "left_semi")
+    # a crowded sketch would give all pairs of its classes; ``prefix_pairs`` has those alike
+    shared = marks.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, CROWD)).select("sketch")
+    sketches_, marks = marks, marks.join(shared, "sketch", "left_semi")
     pairs = (marks.alias("a").join(marks.alias("b"), "sketch").where("a.class_id < b.class_id")
              .select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")))
     pairs = materialise(pairs.unionByName(prefix_pairs(per, counted, threshold)).distinct(), "candidates")
+    for spent in (sketches_, often):
+        forget(spent)
     both = pairs.join(texts.select(F.col("class_id").alias("class_a"), F.col("words").alias("wa")), "class_a").join(texts.select(F.col("class_id").alias("class_b"), F.col("words").alias("wb")), "class_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -110,10 +110,10 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def redundancy(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per text: language, length class, compression ratio, share of prose and
-    ``relative``, the ratio over the median of its language and length class.
+    ``relative``, the ratio over the usual one (the 0.6 quantile) of its language and length class.
 
     The usual ratios come from all texts. A class of fewer than 20 texts, and texts without
-    any function word, take the median of the
+    any function word, take the usual ratio of the
     length class over all languages of the same kind of script (spaced or not). Null and
     empty texts get no row. Only a few numbers per text leave the first stage.
     """

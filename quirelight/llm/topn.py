@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -15,14 +17,19 @@ from quirelight.session import scratch_path
 
 #: Bytes a Parquet row group buffers: small, so that one can be skipped without the next.
 ROW_GROUP_BYTES = 512 * 1024
+#: Footers that one task reads.
+FOOTERS = 8
 
 
+@contextmanager
 def _open(path: str):
+    """A Parquet file of the shared folder; Spark's names of a store's protocol are mapped."""
     from pyarrow import fs
     from pyarrow import parquet as pq
 
-    where, inner = fs.FileSystem.from_uri(path)
-    return pq.ParquetFile(where.open_input_file(inner))
+    where, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    with where.open_input_file(inner) as f:
+        yield pq.ParquetFile(f)
 
 
 def _bounds(rg, columns: list[str]) -> dict[str, tuple[Any, Any] | None]:
@@ -41,7 +48,8 @@ def _row_groups(order: list[str]):
         for pdf in batches:
             rows = []
             for path in pdf["path"]:
-                meta = _open(path).metadata
+                with _open(path) as f:
+                    meta = f.metadata
                 for i in range(meta.num_row_groups):
                     b = _bounds(meta.row_group(i), ["_g", *order, "_item"])
                     only = b["_g"][0] if b["_g"] and b["_g"][0] == b["_g"][1] else None
@@ -92,7 +100,8 @@ def _read_best_first(n: int, order: list[str]):
             worst = best[only].worst() if only in best else None
             if worst is not None and low > worst[: len(low)]:
                 continue
-            t = _open(path).read_row_group(i, columns=["_g", *order, "_item"]).to_pydict()
+            with _open(path) as f:
+                t = f.read_row_group(i, columns=["_g", *order, "_item"]).to_pydict()
             for group, item, *key in zip(t["_g"], t["_item"], *[t[c] for c in order]):
                 best.setdefault(group, _Best(n)).offer((*key, item), item)
         rows = [(g, *key[:-1], item) for g, b in best.items() for item, key in b.held.items()]
@@ -125,7 +134,7 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], item: str, n: in
     units = T.StructType([T.StructField("path", T.StringType()), T.StructField("row_group", T.IntegerType()), T.StructField("unit", T.StringType()),
                           T.StructField("only", T.StringType()), T.StructField("low", T.ArrayType(T.DoubleType())), T.StructField("low_item", T.StringType())])
     out = T.StructType([T.StructField("_g", T.StringType()), *[T.StructField(k, T.DoubleType()) for k in names], T.StructField("_item", rows.schema["_item"].dataType)])
-    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 64)))
+    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, -(-len(files) // FOOTERS)))
     parts = listed.mapInPandas(_row_groups(names), units).groupBy("unit").applyInPandas(_read_best_first(n, names), out)
     once = parts.groupBy("_g", "_item").agg(F.min(F.struct(*names)).alias("_k"))
     ranked = once.withColumn("position", F.row_number().over(W.partitionBy("_g").orderBy("_k", "_item"))).where(F.col("position") <= n)
