@@ -478,7 +478,9 @@ def density_clusters(df: DataFrame, group: str, key: str, vector: str, method: s
     A group of up to ``limit`` rows is one task's work. A larger one is clustered by DBSCAN
     over all its rows, in blocks; only a radius that is not given is chosen on ``limit`` rows,
     taken by hash. By HDBSCAN ``limit`` rows of it, taken by hash, are clustered, and its other
-    rows take the cluster of the nearest of these; groups are salted for that step.
+    rows take the cluster of the nearest of these if it is no farther than the cluster's own
+    rows are from their ``min_samples``-th neighbours, at most; else they are noise. Groups are
+    salted for that step.
     """
     run = _method(method, eps, min_samples, min_cluster_size, dims)
     gk, kk = df.schema[group].dataType.simpleString(), df.schema[key].dataType.simpleString()
@@ -508,11 +510,14 @@ def density_clusters(df: DataFrame, group: str, key: str, vector: str, method: s
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"g": left["g"], "k": left["k"], "cluster": np.full(len(left), -1, np.int32)})
         y, lab = np.stack(right["v"].to_numpy()), right["cluster"].to_numpy()
+        near = min(min_samples, len(y) - 1)
+        core = np.concatenate([np.partition(1.0 - y[i : i + 1024] @ y.T, near, axis=1)[:, near] for i in range(0, len(y), 1024)])
+        reach = np.array([core[lab == c].max() for c in range(lab.max() + 1)] + [np.inf])  # noise stays noise
         out = []
         for i in range(0, len(left), 1024):
             dist = 1.0 - np.stack(left["v"].iloc[i : i + 1024].to_numpy()) @ y.T
             j = dist.argmin(1)
-            out.append(lab[j])
+            out.append(np.where(dist[np.arange(len(j)), j] <= reach[lab[j]] + 1e-12, lab[j], -1))
         return pd.DataFrame({"g": left["g"], "k": left["k"], "cluster": np.concatenate(out).astype(np.int32)})
 
     # fitted rows of large groups, at most ``limit`` each, are copied to every salt

@@ -83,7 +83,7 @@ def select_evidence(candidates: DataFrame, group: str, *, least_score: float = 3
     """
     order = [F.desc("score"), "paper_id", "paragraph_index", "sentences"]
     base = candidates.where((F.length("paragraph") >= least_chars) & (F.col("score") >= least_score)).select(group, "paper_id", "paragraph_index", "sentences", "score", X.roots(F.col("paragraph")).alias("roots"))
-    ranked = base.dropDuplicates([group, "paper_id", "paragraph_index", "sentences"]).withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    ranked = materialise(base.dropDuplicates([group, "paper_id", "paragraph_index", "sentences"]).withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))), "ranked-evidence")
     out = f"`{group}` {candidates.schema[group].dataType.simpleString()}, paper_id string, paragraph_index int, sentences string, score double, roots array<string>, rank int, place int, last int"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
