@@ -187,7 +187,7 @@ def test_fixed_phrases_have_few_neighbours():
     assert themes.content_terms(None, "", None) == {}
 
 
-def planted(n_themes, size, seed=1):
+def planted(n_themes, size, seed=1, others=150):
     """Papers of themes that draw on twelve words of their own choice, and others that draw on all words."""
     rng = random.Random(seed)
     common = [f"noun{c}{d}{e}" for c in "abcdefghijkl" for d in "mnopqrstuv" for e in "wxyz"]
@@ -204,7 +204,7 @@ def planted(n_themes, size, seed=1):
         words = rng.sample(common, 12)
         for _ in range(size):
             truth[paper(words, [w for w in (f"jargon{chr(97 + t)}x", f"jargon{chr(97 + t)}y") if rng.random() < 0.8] * 2)] = t
-    for _ in range(150):
+    for _ in range(others):
         paper(rng.sample(common, 60), [])
     return rows, truth
 
@@ -252,9 +252,15 @@ def test_the_mixture_decides(spark, monkeypatch):
         assert theme_quality(themes.themes(df), truth)[0] < 0.5, wrong.__name__
 
 
+def test_a_theme_of_a_third_of_all_papers(spark):
+    rows, truth = planted(1, 150, others=300)
+    found, true = theme_quality(themes.themes(spark.createDataFrame(rows, PAPER)), truth)
+    assert found >= 0.8 and true >= 0.9, (found, true)
+
+
 def test_a_theme_over_many_chunks_stays_whole(spark, monkeypatch):
     monkeypatch.setattr(themes, "CHUNK", 40)
-    rows, truth = planted(3, 70)
+    rows, truth = planted(3, 60, others=500)
     found, true = theme_quality(themes.themes(spark.createDataFrame(rows, PAPER)), truth)
     assert found >= 0.9 and true >= 0.9, (found, true)
 
