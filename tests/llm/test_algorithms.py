@@ -1,5 +1,6 @@
 """The ten problems' operators against brute force, exact round trips or planted cases."""
 
+import contextlib
 import itertools
 import math
 import random
@@ -349,15 +350,15 @@ def test_row_groups_behind_the_nth_item_are_not_read(spark, tmp_path, monkeypatc
     read = []
     opened = topn._open
 
+    @contextlib.contextmanager
     def counting(path):
-        f = opened(path)
-
         class One:
             def read_row_group(self, i, columns):
                 read.append(i)
-                return f.read_row_group(i, columns=columns)
+                with opened(path) as f:
+                    return f.read_row_group(i, columns=columns)
 
-        return One()
+        yield One()
 
     monkeypatch.setattr(topn, "_open", counting)
     out = topn._read_best_first(3, ["_o0"])(units)
