@@ -3,6 +3,7 @@
 import contextlib
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quirelight import session
 from quirelight.llm import distinctive, leakage, mixing, near_dup, scan_repair, sentences, spam, subjects, themes, topn
 
 DIR = "/root/testdata/sf0.001"
@@ -140,6 +142,77 @@ def test_hundreds_of_edited_versions_lose_no_link(spark):
     assert len(true) == 200 * 199 // 2 and got == true
 
 
+def test_disk_stays_within_four_times_the_texts(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    phrase = [f"common{i}" for i in range(25)]
+    rows = []
+    for i in range(3000):
+        w = [f"w{rng.randrange(60000)}" for _ in range(60)] + phrase
+        rows += [(f"a{i:05}", " ".join(w)), *([(f"b{i:05}", " ".join(w[:50] + w[51:]))] if i % 10 == 0 else [])]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "id string, t string").write.parquet(path)
+    size = lambda top, begin="": sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(top) for f in fs if f.startswith(begin))
+    local = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: sum(size(d, "shuffle") for d in local)
+    monkeypatch.setattr(near_dup, "AT_ONCE", 0.02, raising=False)  # pairs are verified in parts
+    held, before, number = [], shuffles(), itertools.count()
+    monkeypatch.setattr(session, "scratch_path", lambda _, name: f"file://{tmp_path}/scratch/quirelight-{name}-{next(number)}")
+    plain = near_dup.materialise
+
+    def watched(df, name, **how):
+        got = plain(df, name, **how)
+        held.append((size(tmp_path / "scratch") + shuffles() - before, name))
+        return got
+
+    monkeypatch.setattr(near_dup, "materialise", watched)
+    links, _ = near_dup.near_duplicates(spark.read.parquet(path), "id", "t")
+    got = {(r["class_a"], r["class_b"]) for r in links.collect()}
+    assert got == {(f"a{i:05}", f"b{i:05}") for i in range(0, 3000, 10)}
+    assert max(held)[0] < 4 * size(path), (max(held), size(path))
+
+
+def test_prefixes_alone_are_a_superset():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(1, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in rng.integers(1, 60, 60)]
+    sets += [np.unique(np.r_[rng.choice(s, max(1, int(0.8 * len(s))), replace=False), rng.choice(pool, 2)]) for s in sets]
+    seen = np.unique(np.concatenate(sets), return_counts=True)
+    for size in (16, 1 << 16):  # nearly all codes share a bucket, or none does
+        table = np.zeros(size, np.uint8)
+        for c, n in zip(*seen):
+            i = int(c) & (size - 1)
+            table[i] = max(table[i], 0 if n < 2 else round(4 * math.log2(n)))
+        first = [set(near_dup.prefix(s, table, 0.5)[0].tolist()) for s in sets]
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if len(a & b) >= 0.5 * len(a | b):
+                assert first[i] & first[j]
+
+
+def test_sketches_meet_over_batches():
+    class Rows:  # as a task gets them: sorted, in batches
+        def __init__(self, *batches):
+            self.batches = batches
+
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):
+            self.out = {p for pdf in f(iter(self.batches)) for p in zip(pdf["a"].tolist(), pdf["b"].tolist())}
+            return self
+
+        def distinct(self):
+            return self.out
+
+    batch = lambda *rows: pd.DataFrame(rows, columns=["sketch", "no", "size"], dtype="int64")
+    crowd = [(9, i, 10) for i in range(near_dup.CROWD + 5)]
+    got = near_dup.sketch_pairs(Rows(batch((1, 1, 10), (2, 2, 10)), batch(), batch((2, 3, 10)), batch((2, 4, 30), *crowd[:40]), batch(*crowd[40:]), batch((10, 5, 7), (10, 6, 7))), 0.5)
+    assert got == {(2, 3), (5, 6)}
+
+
 def test_versions_by_title_and_doi(spark):
     rows = [(1, "p1", "A Title!", None, "doi: 10.1/X"), (2, "p2", "a title", "nan", "https://dx.doi.org/10.1/x"), (3, "p3", "a title", "some words that differ from all", "10.1/x"), (4, "p4", "a title", "", None), (5, "p5", "", "", "10.1/x"), (6, "p1", "other", "", "10.1/x")]
     df = spark.createDataFrame(rows, "input_row long, paper_id string, title string, abstract string, doi string").withColumn("words", F.lit(1)).withColumn("class_id", F.lit("q"))
