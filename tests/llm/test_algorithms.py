@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -345,6 +346,46 @@ def test_a_theme_over_many_chunks_stays_whole(spark, monkeypatch):
 # --- 5: subjects ---
 
 
+def test_a_paper_of_many_candidates_takes_no_more_memory():
+    rng = np.random.default_rng(2)
+    papers, each, comps = 400, 200, 500
+    x = rng.standard_normal((papers, themes.DIMS)).astype(np.float32)
+    p = np.repeat(np.arange(papers), each)
+    c = np.concatenate([rng.choice(comps, each, replace=False) for _ in range(papers)])
+    r = rng.random(len(c)).astype(np.float32) / each
+    n, total = themes.sums(x, p, c, r, comps)
+    assert np.allclose(total[7], (r[c == 7, None] * x[p[c == 7]]).sum(0), atol=1e-4)
+    tracemalloc.start()
+    themes.sums(x, p, c, r, comps)
+    got, ratio = themes.expectation(x, p, c, r, n, total)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6, most  # the features of all candidates are 61 MB
+    some = rng.choice(papers, 5, replace=False)
+    for i in some:  # each paper alone gives the same
+        at = p == i
+        alone = themes.expectation(x[[i]], np.zeros(each, np.int64), c[at], r[at], n, total)
+        assert np.allclose(alone[0], got[at]) and np.allclose(alone[1], ratio[at])
+    pairs, count = themes._counted_pairs(p, c, comps)
+    a, b = themes._pairs(p, c)
+    assert dict(zip(pairs.tolist(), count.tolist())) == Counter((a * comps + b).tolist())
+
+
+def test_triples_are_sent_in_parts(monkeypatch):
+    monkeypatch.setattr(themes, "SENT", 2000, raising=False)
+    pdf = pd.DataFrame({"paper_id": [f"p{i}" for i in range(40)], "terms": [list(range(i, i + 18)) for i in range(40)]})
+    parts = list(themes._keys("paper_id")(iter([pdf[:25], pdf[25:]])))
+    assert max(map(len, parts)) < 2000 + 816 and sum(map(len, parts)) == 40 * 816
+    assert Counter(pd.concat(parts)["paper_id"]) == {f"p{i}": 816 for i in range(40)}
+
+
+def test_chunks_of_many_candidates_are_split(spark, monkeypatch):
+    monkeypatch.setattr(themes, "ENTRIES", 100)
+    state = spark.createDataFrame([(f"p{i}", 3 if i < 200 else 4, 5 if i < 200 else 1) for i in range(250)], "paper_id string, chunk long, k int")
+    got = themes._thinned(state, F.col("k"), 24).groupBy("chunk").agg(F.sum("k").alias("k"), F.count("k").alias("n")).collect()
+    assert sum(r["n"] for r in got) == 250 and max(r["k"] for r in got) < 250 and {r["chunk"] for r in got} == {4, *(3 + (i << 24) for i in range(10))}
+
+
 def test_subjects_on_held_out_labels():
     d = "/root/testdata/sf0.1"
     f = pd.read_parquet(f"{d}/final_advancing_list.parquet").sort_values("input_row").drop_duplicates("paper_id").set_index("paper_id").abstract.fillna("")
