@@ -32,11 +32,14 @@ TRAIN_FIELDS, TRAIN_WORDS, TRAIN_JOINS = 900, 8000, 6000
 RECURS, RECUR_SHARE, INSIDE = 3, 0.004, 0.5
 #: Longest shape that is counted, in tokens.
 SHAPE_TOKENS = 14
-#: The dictionary holds at most this many words, the commonest.
+#: So many words, the commonest, are sent to every task; the rest of the dictionary, the names and
+#: the venue words is looked up for every field by joins.
 DICTIONARY_LIMIT = 400_000
 EPOCHS = 5
 BEAM = 60
 
+_LEX, _OWN = "array<struct<asked:string,w:string,name:boolean,venue:boolean>>", "array<struct<w:string,count:bigint>>"
+
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _HYPHEN = re.compile(r"[^\W\d_][\w’']*[-­‐]$")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -142,6 +145,7 @@ class Lexicon:
 
     def __init__(self, names: set[str] = frozenset(), venues: set[str] = frozenset()):
         self.names, self.venues, self.literals = names, venues, []
+        self.own: dict[str, tuple[str, bool, bool]] = {}  # of the field in hand: what the rest holds
         self._by_length: dict[int, list[str]] = defaultdict(list)
         for w in sorted(names | venues):
             self._by_length[len(w)].append(w)
@@ -151,7 +155,30 @@ class Lexicon:
         if not (re.search(r"\d", word) and _LETTER.search(word)):
             return word
         rule = re.compile(re.sub(r"\d", ".", re.escape(word)))
-        return next((w for w in [*sorted(title), *self._by_length.get(len(word), ()), *self.literals] if rule.fullmatch(w)), word)
+        first = lambda words: next((w for w in words if rule.fullmatch(w)), None)
+        if (w := first(sorted(title))) is not None:
+            return w
+        here = [w for w in (first(self._by_length.get(len(word), ())), self.own.get(word, (None,))[0]) if w is not None]
+        return min(here) if here else first(self.literals) or word
+
+    def answer(self, rows: list) -> None:
+        """Take what the rest holds of a field's words: rows ``(asked, w, name, venue)``."""
+        self.own = {r[0]: (r[1], r[2], r[3]) for r in rows} | {r[1]: (r[1], r[2], r[3]) for r in rows}
+
+    def _is(self, word: str, kind: int) -> bool:
+        return word in (self.names, self.venues)[kind] or (word in self.own and self.own[word][0] == word and self.own[word][1 + kind])
+
+    @staticmethod
+    def asks(lines: list[str], title: str) -> set[tuple[str, str | None, str]]:
+        """(word, the word with points for digits or None, the digits' places) of all that ``shape`` looks up."""
+        out: set[tuple[str, str | None, str]] = {(w, None, "") for w in map(bare, title.split()) if w}
+        for tok in " ".join(lines).split():
+            w = bare(tok.rstrip("…").rstrip("."))
+            if re.search(r"\d", w) and _LETTER.search(w):
+                out.add((w, re.sub(r"\d", ".", w), ",".join(str(m.start()) for m in re.finditer(r"\d", w))))
+            elif w:
+                out.add((w, None, ""))
+        return out
 
     def shape(self, line: str, title: set[str]) -> str:
         """The line with T for words of the title (or the cut beginning of one at its end), N for
@@ -164,7 +191,7 @@ class Lexicon:
                 w = self._like(w, title)
             run = out[-1].rstrip(".,:;…") if out else ""
             cut = bool(w) and j + 1 == len(toks) and (len(w) > 1 or run == "T") and any(t.startswith(w) for t in title)
-            kinds = [c for c, ok in (("N", w in self.names), ("T", w in title or cut), ("V", w in self.venues)) if ok] if w else []
+            kinds = [c for c, ok in (("N", self._is(w, 0)), ("T", w in title or cut), ("V", self._is(w, 1))) if ok] if w else []
             k = run if run in kinds else kinds[0] if kinds else ""  # a run of words of one kind goes on
             end = re.search(r"[.,:;…]*$", tok).group()
             end = "..." if end.endswith(("...", "…")) else end[-1:]
@@ -251,11 +278,34 @@ def known_lines(lines: list[str], shapes: dict[int, str], recurring: dict[str, f
 # --- characters ---------------------------------------------------------------------------
 
 
+class Counts(dict):
+    """Counts of the commonest words, and of those others that the field in hand has (``own``).
+    What neither holds is noted in ``asked`` where that is a set."""
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.own: dict[str, int] = {}
+        self.asked: set[str] | None = None
+
+    def __contains__(self, word: object) -> bool:
+        if dict.__contains__(self, word) or word in self.own:
+            return True
+        if self.asked is not None:
+            self.asked.add(word)
+        return False
+
+    def get(self, word: str, default=None):
+        return self[word] if word in self else default
+
+    def __missing__(self, word: str) -> int:
+        return self.own[word]
+
+
 class Dictionary:
     """Known words with their counts, and a search for words that differ at one place."""
 
     def __init__(self, counts: dict[str, int]):
-        self.n = counts
+        self.n = Counts(counts)
         self.forward = sorted(counts)
         self.backward = sorted(w[::-1] for w in counts)
 
@@ -272,7 +322,7 @@ class Dictionary:
     def _starting(words: list[str], head: str) -> list[str]:
         i = bisect.bisect_left(words, head)
         out = []
-        while i < len(words) and words[i].startswith(head) and len(out) < 4000:
+        while i < len(words) and words[i].startswith(head):
             out.append(words[i])
             i += 1
         return out
@@ -445,6 +495,11 @@ class Repairer:
     def __init__(self, lines: LineModel, editor: CharacterEditor, joins: Perceptron, floor: float = -9.0):
         self.lines, self.editor, self.joins, self.words, self.floor = lines, editor, joins, editor.words, floor
 
+    def answer(self, lex, own) -> None:
+        """Take what the rest of names and dictionary holds of the next field's words."""
+        self.lines.lexicon.answer(_rows(lex))
+        self.words.n.own = dict(_rows(own))
+
     def _word(self, token: str) -> str | None:
         """The right word for a token, None if it is right already or not repairable."""
         w = bare(token)
@@ -526,10 +581,11 @@ def build(contexts: DataFrame, papers: DataFrame) -> tuple[Repairer, DataFrame]:
     """Train the models on the collection; also the distinct scanned fields to repair.
 
     The dictionary counts every word of all clean texts (a partial aggregate); words seen
-    once are left out, and of more than ``DICTIONARY_LIMIT`` the rarest. Misread words are
-    counted over all scanned texts; the commonest ``TRAIN_WORDS`` train the editor. Shapes of
+    once are left out. Of more than ``DICTIONARY_LIMIT`` words the rarest are not sent to every
+    task but joined to the fields that ask for them; so are names and venue words. The editor and
+    the joins are trained on the commonest. Misread words are counted over all scanned texts; the commonest ``TRAIN_WORDS`` train the editor. Shapes of
     lines are counted over all scanned fields; the first ``TRAIN_FIELDS`` of them by hash train
-    the line model. Names and venue words are the commonest ``DICTIONARY_LIMIT`` at most.
+    the line model.
     """
     spark = contexts.sparkSession
     one = materialise(one_row_per_paper(papers, "title", "abstract", "authors", "venue"), "works")
@@ -544,7 +600,7 @@ def build(contexts: DataFrame, papers: DataFrame) -> tuple[Repairer, DataFrame]:
     stripped = F.regexp_replace(F.col("w"), r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
     known = texts.where("t is not null").select(_tokens(F.col("t")).alias("w")).select(stripped.alias("w")).where(F.col("w").rlike(r"\p{L}")).groupBy("w").count().where("count > 1")
     known = materialise(known, "dictionary")
-    words = {r["w"]: r["count"] for r in known.orderBy(F.desc("count"), "w").limit(DICTIONARY_LIMIT).toLocalIterator()}
+    words, rest = _commonest(known)
     dictionary = Dictionary(words)
     lines = fields.select(F.explode(F.split("text", "\n")).alias("l"))
     seen = lines.where(~F.col("l").rlike(r"[-­]\s*$")).select(_tokens(F.col("l")).alias("w")).select(stripped.alias("w")).where(F.col("w").rlike(r"\p{L}") & (F.length("w") > 3)).groupBy("w").count()
@@ -552,14 +608,19 @@ def build(contexts: DataFrame, papers: DataFrame) -> tuple[Repairer, DataFrame]:
     strange = seen.join(known.select("w"), "w", "left_anti").orderBy(F.desc("count"), "w").limit(TRAIN_WORDS).collect()
     editor = train_editor([(r["w"], r["count"]) for r in strange], dictionary)
     fields = fields.join(one.select("paper_id", "title", "authors", "venue"), "paper_id", "left")
-    lexicon = Lexicon(*(_commonest(one, c, least) for c, least in (("authors", 3), ("venue", 1))))
+    (names, more_names), (venues, more_venues) = (_commonest(_words_of(one, c, least)) for c, least in (("authors", 3), ("venue", 1)))
+    lexicon = Lexicon(set(names), set(venues))
+    fields = fields.withColumn("lex", F.lit(None).cast(_LEX)).withColumn("own", F.lit(None).cast(_OWN))
+    if more_names is not None or more_venues is not None:
+        fields = _with_lexicon(fields, more_names, more_venues)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict[str, list[int]] = {}
         for pdf in batches:
-            for text, title in zip(pdf["text"], pdf["title"]):
+            for text, title, lex in zip(pdf["text"], pdf["title"], pdf["lex"]):
                 ls = text.split("\n")
+                shared.value.answer(_rows(lex))
                 mine = shared.value.shapes(ls, title or "")
                 for i, shape in mine.items():
                     if shape.count(" ") < SHAPE_TOKENS:
@@ -571,24 +632,96 @@ def build(contexts: DataFrame, papers: DataFrame) -> tuple[Repairer, DataFrame]:
                         got[shape][0] += 1
         yield pd.DataFrame([(k, *v) for k, v in got.items()], columns=["shape", "fields", "lines", "inside"])
 
-    stats = fields.select("text", "title").mapInPandas(shapes, "shape string, fields long, lines long, inside long").groupBy("shape").agg(*[F.sum(c).alias(c) for c in ("fields", "lines", "inside")])
+    stats = fields.select("text", "title", "lex").mapInPandas(shapes, "shape string, fields long, lines long, inside long").groupBy("shape").agg(*[F.sum(c).alias(c) for c in ("fields", "lines", "inside")])
     least = max(RECURS, math.ceil(RECUR_SHARE * fields.count()))
     # every field has its own lines only, so at most (lines of a field) / RECUR_SHARE shapes recur
     recurring = {r["shape"]: r["inside"] / r["lines"] for r in stats.where(F.col("fields") >= least).toLocalIterator()}
     lexicon.literals = sorted({w for k, v in recurring.items() if v >= INSIDE for w in re.findall(r"[^\W\d_]+", k) if w not in ("T", "N", "V")})
     sample = fields.orderBy(F.xxhash64("paper_id", "field_name"), "paper_id", "field_name").limit(TRAIN_FIELDS).collect()
     pages = []
+    lexicon.answer([x for r in sample for x in _rows(r["lex"])])
     for r in sample:
         ls, title = r["text"].split("\n"), r["title"] or ""
         pages.append((ls, known_lines(ls, lexicon.shapes(ls, title), recurring), title, f"{r['authors'] or ''} {r['venue'] or ''}"))
-    return Repairer(LineModel(lexicon).train(pages), editor, train_joins(words)), fields
+    repairer = Repairer(LineModel(lexicon).train(pages), editor, train_joins(words))
+    lexicon.answer([])
+    return repairer, fields if rest is None else _with_own(fields, repairer, rest)
+
+
+def _rows(cells) -> list[tuple]:
+    return [] if cells is None else [tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in cells]
+
+
+def _with_lexicon(fields: DataFrame, names: DataFrame | None, venues: DataFrame | None) -> DataFrame:
+    """``fields`` with ``lex``: what names and venue words beyond the commonest say of their words.
+    A word with misread digits gets the least word that it may be; words and digits' places are
+    equal in a join, so no word of the rest is held against all fields."""
+    parts = [d.select("w", F.lit(d is names).alias("name"), F.lit(d is venues).alias("venue")) for d in (names, venues) if d is not None]
+    rest = functools.reduce(DataFrame.unionByName, parts).groupBy("w").agg(F.max("name").alias("name"), F.max("venue").alias("venue"))
+    rest = materialise(rest, "rare-names")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, f, *x) for p, f, text, title in zip(pdf["paper_id"], pdf["field_name"], pdf["text"], pdf["title"]) for x in Lexicon.asks(text.split("\n"), title or "")]
+            yield pd.DataFrame(rows, columns=["paper_id", "field_name", "asked", "like", "places"], dtype=object)
 
+    asked = materialise(fields.select("paper_id", "field_name", "text", "title").mapInPandas(ask, "paper_id string, field_name string, asked string, like string, places string").distinct(), "asked-names")
+    plain = asked.where("like is null").select("asked").distinct().join(rest, F.col("asked") == F.col("w")).select("asked", "w", "name", "venue")
+    odd = asked.where("like is not null").select("asked", "like", "places", F.length("like").alias("long")).distinct()
+    hidden = F.expr("array_join(transform(split(w, ''), (c, i) -> if(array_contains(split(places, ','), cast(i as string)), '.', c)), '')")
+    pointed = odd.select("places", "long").distinct().join(rest, F.col("long") == F.length("w")).withColumn("like", hidden).select("places", "like", "w", "name", "venue")
+    alike = odd.join(pointed, ["places", "like"]).groupBy("asked").agg(F.min(F.struct("w", "name", "venue")).alias("m")).select("asked", "m.w", "m.name", "m.venue")
+    told = asked.select("paper_id", "field_name", "asked").join(plain.unionByName(alike), "asked")
+    told = told.groupBy("paper_id", "field_name").agg(F.collect_list(F.struct("asked", "w", "name", "venue")).alias("lex"))
+    return materialise(fields.drop("lex").join(told, ["paper_id", "field_name"], "left"), "fields-names")
 
-def _commonest(papers: DataFrame, column: str, least: int) -> set[str]:
-    """The words of a column, the commonest ``DICTIONARY_LIMIT`` at most."""
+
+def _with_own(fields: DataFrame, repairer: Repairer, rest: DataFrame) -> DataFrame:
+    """``fields`` with ``own``: the words beyond the commonest that their repair looks up.
+
+    What a repair asks depends on what it is told, so it is asked again until the dictionary
+    has nothing more to tell; then every answer is that of the whole dictionary.
+    """
+    shared = fields.sparkSession.sparkContext.broadcast(repairer)
+    told, n = None, 0
+    keys = ["paper_id", "field_name"]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = shared.value
+        for pdf in batches:
+            rows = []
+            for p, f, text, lex, own, (title, names) in zip(pdf["paper_id"], pdf["field_name"], pdf["text"], pdf["lex"], pdf["own"], _names(pdf)):
+                r.answer(lex, own)
+                r.words.n.asked = set()
+                r.damage(text, title, names)
+                rows += [(p, f, w) for w in r.words.n.asked]
+                r.words.n.asked = None
+            yield pd.DataFrame(rows, columns=["paper_id", "field_name", "w"], dtype=object)
+
+    while True:
+        new = fields.mapInPandas(ask, "paper_id string, field_name string, w string").distinct().join(rest, "w").select(*keys, "w", "count")
+        told = materialise(new if told is None else told.unionByName(new).distinct(), "rare-words")
+        if (now := told.count()) == n:
+            return fields
+        n = now
+        own = told.groupBy(*keys).agg(F.collect_list(F.struct("w", "count")).alias("own"))
+        fields = materialise(fields.drop("own").join(own, keys, "left"), "fields-words")
+
+
+def _commonest(words: DataFrame) -> tuple[dict[str, int], DataFrame | None]:
+    """The commonest ``DICTIONARY_LIMIT`` of ``w, count``; the others, None if there are none."""
+    held = {r["w"]: r["count"] for r in words.orderBy(F.desc("count"), "w").limit(DICTIONARY_LIMIT + 1).toLocalIterator()}
+    if len(held) <= DICTIONARY_LIMIT:
+        return held, None
+    w, n = held.popitem()
+    return held, materialise(words.where((F.col("count") < n) | ((F.col("count") == n) & (F.col("w") >= w))), "rare")
+
+
+def _words_of(papers: DataFrame, column: str, least: int) -> DataFrame:
+    """``w, count`` of the words of a column."""
     w = papers.where(F.col(column).isNotNull()).select(F.explode(F.split(F.lower(column), r"[\s,;]+")).alias("w"))
     w = w.select(F.regexp_replace("w", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("w")).where(F.length("w") >= least)
-    return {r["w"] for r in w.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_LIMIT).toLocalIterator()}
+    return w.groupBy("w").count()
 
 
 def _names(pdf: pd.DataFrame) -> Iterator[tuple[str, str]]:
@@ -611,7 +744,8 @@ def damaged_places(contexts: DataFrame, papers: DataFrame) -> DataFrame:
         r = shared.value
         for pdf in batches:
             rows = []
-            for p, f, text, (title, names) in zip(pdf["paper_id"], pdf["field_name"], pdf["text"], _names(pdf)):
+            for p, f, text, lex, own, (title, names) in zip(pdf["paper_id"], pdf["field_name"], pdf["text"], pdf["lex"], pdf["own"], _names(pdf)):
+                r.answer(lex, own)
                 rows += [(p, f, *x) for x in dict.fromkeys(r.damage(text, title, names)[0])]
             yield pd.DataFrame(rows, columns=["paper_id", "field_name", "line_no", "kind", "word"])
 
@@ -626,6 +760,10 @@ def repaired_texts(contexts: DataFrame, papers: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for pdf in batches:
-            yield pd.DataFrame({"paper_id": pdf["paper_id"], "field_name": pdf["field_name"], "text": [r.damage(t, a, b)[1] for t, (a, b) in zip(pdf["text"], _names(pdf))]})
+            texts = []
+            for t, lex, own, (a, b) in zip(pdf["text"], pdf["lex"], pdf["own"], _names(pdf)):
+                r.answer(lex, own)
+                texts.append(r.damage(t, a, b)[1])
+            yield pd.DataFrame({"paper_id": pdf["paper_id"], "field_name": pdf["field_name"], "text": texts})
 
     return fields.mapInPandas(run, "paper_id string, field_name string, text string")

@@ -535,6 +535,31 @@ def test_misread_and_split_words(repair):
     assert repair.damage("", "", "")[0] == [] and repair.damage("\n\n", "", "")[1] == ""
 
 
+def test_words_beyond_the_limit_are_looked_up(spark, monkeypatch):
+    clean = "the makers sketch quindle forms and weigh the zorbatic lamps beside the room " * 30
+    rare = "Ombrelict plants grow. Ombrelict plants grow."
+    c = spark.createDataFrame([("a", "pypdf", clean, rare), ("b", "ocr", "the makers sketch the ombre-\nlict plants and\nweigh ombrelict lamps", None)], "paper_id string, pdf_extract_method string, extracted_context string, discussion_full string")
+    p = spark.createDataFrame([(1, "b", "x", "y", "Foosh, A.; Barnd, B.; Foosh, C.", "Rooms")], "input_row long, paper_id string, title string, abstract string, authors string, venue string")
+    monkeypatch.setattr(scan_repair, "DICTIONARY_LIMIT", 3)
+    repairer, fields = scan_repair.build(c, p)
+    [row] = fields.collect()
+    assert len(repairer.words.n) == 3 and {"ombrelict", "makers", "plants"} <= {r["w"] for r in row["own"]}
+    repairer.answer(row["lex"], row["own"])
+    assert repairer.words.known("ombrelict") and repairer._word("ombrelict") is None and repairer.words.n.get("zorbatic") is None
+
+
+def test_rare_names_are_looked_up(spark):
+    few = lambda *w: spark.createDataFrame([(x, 1) for x in w], "w string, count long")
+    f = spark.createDataFrame([("p", "x", "F0osh & B4rnd\nJ0urnal of R00ms", "a lamp", None)], f"paper_id string, field_name string, text string, title string, lex {scan_repair._LEX}")
+    [row] = scan_repair._with_lexicon(f, few("foosh", "fzosh", "barnd"), few("rooms", "of")).collect()
+    x = scan_repair.Lexicon(set(), {"journal"})
+    assert x.shape("F0osh & B4rnd", set()) == "f9osh & b9rnd"
+    x.answer(scan_repair._rows(row["lex"]))
+    assert x.shape("F0osh & B4rnd", set()) == "N & N" and x.shape("J0urnal of R00ms", set()) == "V"
+    whole = scan_repair.Lexicon({"foosh", "fzosh", "barnd"}, {"journal", "rooms", "of"})
+    assert all(whole.shape(t, set()) == x.shape(t, set()) for t in ("F0osh & B4rnd", "J0urnal of R00ms", "of barnd"))
+
+
 def test_scan_repair_without_anything_to_learn_from(spark):
     c = spark.createDataFrame([("p", "ocr", "a line\nof text", None), ("p", "ocr", "a line\nof text", " "), ("q", "pypdf", None, None), (None, "ocr", "x", "y")], "paper_id string, pdf_extract_method string, extracted_context string, discussion_full string")
     p = spark.createDataFrame([], "input_row long, paper_id string, title string, abstract string, authors string, venue string")
